@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, quality, secrets
-from tabforge.llm.common import table
+from tabforge.llm import bpe, quality, secrets, toxicity, warc
+from tabforge.llm.common import table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +20,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), work_path(spark, "archive"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, lexicon, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_hits")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -28,4 +41,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
