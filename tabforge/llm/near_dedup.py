@@ -169,7 +169,7 @@ def across(blocks: DataFrame, t: float) -> DataFrame:
         for p in np.flatnonzero(probe):
             i = np.flatnonzero(~probe & (comp != comp[p]))
             if len(i):
-                i = i[_alike(n[i], n[p], sig[i], sig[p][None, :], t)]
+                i = i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]
                 out.append((ids[i], np.full(len(i), ids[p])))
         if out:
             yield _pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
