@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, near_dedup, quality, secrets, toxicity, warc
+from tabforge.llm import bpe, fingerprints, near_dedup, quality, secrets, toxicity, warc
 from tabforge.llm.common import table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
@@ -45,4 +49,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
