@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, fingerprints, near_dedup, quality, secrets, toxicity, warc
+from tabforge.llm import bpe, fingerprints, mixing, near_dedup, quality, secrets, toxicity, warc
 from tabforge.llm.common import table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+#: Languages of the mixture and their shares of its tokens.
+TARGETS = {"de": 0.14, "en": 0.60, "es": 0.12, "fr": 0.14}
+
+
+def trusted(labels: DataFrame) -> DataFrame:
+    """Labelled rows fit to learn a domain from: of good quality and not toxic."""
+    return labels.filter("quality = 1 AND toxic = 0")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, domains = mixing.mixture(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")), TARGETS, keep=["doc_id", "source"])
+    posterior = [F.coalesce(F.get("posterior", F.lit(domains.names.index(n))), F.lit(0.0)).alias(f"p_{n}") if n in domains.names else F.lit(0.0).alias(f"p_{n}") for n in sorted(TARGETS)]
+    return mixed.select("doc_id", "source", "n_tokens", *posterior, "rate", "copies")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
@@ -49,4 +64,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
