@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, fingerprints, mixing, near_dedup, quality, secrets, toxicity, warc
+from tabforge.llm import bpe, fingerprints, mixing, near_dedup, pii, quality, secrets, token_counts, toxicity, warc
 from tabforge.llm.common import table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_OF_DOCUMENT = 50256
 
 ORACLES: dict[str, str] = {}
 
@@ -55,13 +56,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_hits")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "tokens")
+    token_counts.write_flat(table(spark, sf_dir, "documents"), path, TOKENIZER, END_OF_DOCUMENT)
+    counts = token_counts.count_tokens(spark, path, END_OF_DOCUMENT)
+    shard = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
+    return counts.select(shard.alias("shard"), "ordinal", "start", "n_tokens", "closed")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return out.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_near_dedup": op3_near_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_token_counts": op9_token_counts, "op10_quality": op10_quality}
