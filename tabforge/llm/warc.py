@@ -19,10 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.llm.common import written
+
 #: Payloads of fewer bytes are always stored.
 MIN_REVISIT = 1000
 VERSION = "WARC/1.1"
-_BOUNDARY = f"\r\n\r\n{VERSION}\r\n"
+#: Payloads kept more than once of which so many at most are broadcast (about 20 MB); more are joined by a shuffle.
+BROADCAST_HOLDERS = 150_000
+#: Archives are split at this mark, of version 1.0 and 1.1 alike; no part of it begins it anew, so it can't be missed.
+_MARK = "WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,7 +48,8 @@ def plan_captures(pages: DataFrame, key: str = "page_id", payload: str = "html",
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1(F.col("payload").cast("binary")))
     p = p.withColumn("record_id", _urn(F.lit("capture"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "payload_digest"))
     holder = p.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "record_id")).alias("h"), F.count("*").alias("n"))
-    holder = holder.filter("n > 1").select("payload_digest", F.col("h.record_id").alias("holder_id"))
+    holder = written(holder.filter("n > 1").select("payload_digest", F.col("h.record_id").alias("holder_id")), "holders")
+    holder = F.broadcast(holder) if holder.count() <= BROADCAST_HOLDERS else holder.hint("merge")
     return p.join(holder, "payload_digest", "left").withColumn("refers_id", F.when(F.col("holder_id") != F.col("record_id"), F.col("holder_id"))).drop("holder_id")
 
 
@@ -83,47 +89,44 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.col("head"), rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
-    """head, block and the named fields of raw records in column value."""
-    cut = F.instr("value", "\r\n\r\n")
-    split = raw.withColumn("\0cut", cut).withColumn("head", F.when(F.col("\0cut") > 0, F.expr("substring(value, 1, `\0cut` - 1)")).otherwise(F.col("value"))).withColumn("block", F.when(F.col("\0cut") > 0, F.expr("substring(value, `\0cut` + 4)")).otherwise(F.lit("")))
-    return split.drop("\0cut", "value").withColumn("length", F.try_to_number(_field("Content-Length"), F.lit("999999999999")).cast("long"))
+def _framed(pieces: DataFrame) -> DataFrame:
+    """pieces with head (first line: the rest of the version), length (its Content-Length) and fits (bytes are as many)."""
+    p = pieces.withColumn("head", F.substring_index("value", "\r\n\r\n", 1))
+    p = p.withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?i)\\r\\nContent-Length:[ \\t]*([0-9]+)', 1), '') AS bigint)"))
+    room = F.octet_length("value") - F.octet_length("head") - 4
+    return p.withColumn("fits", F.coalesce((room == F.col("length") + 4) | (room == F.col("length")), F.lit(False)))
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pieces of one archive in order, as whole records: a piece is added until the record has its Content-Length."""
+def _mended(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one archive in order, as whole records: pieces join until a record has its Content-Length."""
     import re
 
-    out, held, need = [], None, 0
-    sep = _BOUNDARY.encode()
+    out, held = [], b""
     for raw in pdf.sort_values(["start", "seq"])["raw"]:
-        held = raw if held is None else held + sep + raw
+        held = held + _MARK.encode() + raw if held else raw
         head, _, block = held.partition(b"\r\n\r\n")
-        m = re.search(rb"(?i)(?:^|\r\n)Content-Length:[ \t]*(\d+)", head)
-        need = int(m[1]) if m else 0
-        if len(block) >= need:
-            out.append(head + b"\r\n\r\n" + block[:need])
-            held = None
-    if held is not None:
-        out.append(held)
-    return pd.DataFrame({"raw": pd.Series(out, dtype=object)})
+        m = re.search(rb"(?i)\r\nContent-Length:[ \t]*([0-9]+)", head)
+        if not held or m and len(block) >= int(m[1]):
+            out.append(held)
+            held = b""
+    return pd.DataFrame({"raw": pd.Series([x for x in [*out, held] if x], dtype=object)})
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: type, record_id, concurrent_to (all, in order), refers_to, uri, date, digest, block, complete."""
-    pieces = spark.read.option("lineSep", _BOUNDARY).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    pieces = pieces.withColumn("value", F.regexp_replace(F.col("value"), rf"^{VERSION}\r\n", ""))
-    p = _parsed(pieces)
-    # A file's last record still has its closing blank lines.
-    trimmed = F.when((F.octet_length("block") == F.col("length") + 4) & F.endswith("block", F.lit("\r\n\r\n")), F.expr("substring(block, 1, length(block) - 4)")).otherwise(F.col("block"))
-    p = p.withColumn("block", trimmed).withColumn("fits", F.coalesce(F.octet_length("block") == F.col("length"), F.lit(False)))
-    torn = [r["file"] for r in p.filter(~F.col("fits")).select("file").distinct().toLocalIterator()]  # names of files only
-    whole = p
+    """One row per record: type, record_id, concurrent_to (all, in order), refers_to, uri, date, digest, block (bytes), complete.
+
+    Archives are split at the version mark; a piece that isn't as long as its record says was cut at a mark inside a
+    payload, and the archives that hold such pieces are read in order.
+    """
+    text = spark.read.option("lineSep", _MARK).text(path).filter("value != ''")
+    pieces = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    p = _framed(pieces)
+    torn = [r["file"] for r in p.filter("NOT fits").select("file").distinct().toLocalIterator()]  # names of files only
+    whole = p.select("value", "head", "length", "fits")
     if torn:
         again = pieces.filter(F.col("file").isin(torn)).withColumn("seq", F.monotonically_increasing_id()).select("file", "start", "seq", F.col("value").cast("binary").alias("raw"))
-        mended = again.groupBy("file").applyInPandas(_joined, "raw binary").select(F.col("raw").cast("string").alias("value"))
-        mended = _parsed(mended).withColumn("fits", F.coalesce(F.octet_length("block") == F.col("length"), F.lit(False)))
-        whole = p.filter(~F.col("file").isin(torn)).drop("file", "start").unionByName(mended)
+        mended = again.groupBy("file").applyInPandas(_mended, "raw binary").select(F.col("raw").cast("string").alias("value"))
+        whole = p.filter(~F.col("file").isin(torn)).select("value", "head", "length", "fits").unionByName(_framed(mended))
     return whole.select(
         _field("WARC-Type").alias("type"),
         _field("WARC-Record-ID").alias("record_id"),
@@ -132,37 +135,37 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Target-URI").alias("uri"),
         _field("WARC-Date").alias("date"),
         F.regexp_replace(_field("WARC-Payload-Digest"), "(?i)^sha1:", "").alias("digest"),
-        "block",
+        F.expr("substring(CAST(value AS BINARY), octet_length(head) + 5, CAST(coalesce(length, 0) AS INT))").alias("block"),
         F.col("fits").alias("complete"),
     )
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """One nested row per capture: capture_id, response, requests[], metadata[].
 
     Request and metadata records name their capture by concurrent-to; those that don't are looked up among the ids that
-    captures name themselves.  Only the response side holds payloads, and a column that isn't selected isn't shuffled.
+    captures name themselves.  Without payloads only their digests and sizes are shuffled.
     """
-    is_capture = F.col("type").isin("response", "revisit")
-    captures = records.filter(is_capture)
+    captures = records.filter(F.col("type").isin("response", "revisit"))
     rest = records.filter(F.col("type").isin("request", "metadata"))
-    named = rest.filter(F.size("concurrent_to") > 0).withColumn("capture_id", F.get("concurrent_to", F.lit(0)))
-    back = captures.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id")).distinct()
-    unnamed = rest.filter(F.size("concurrent_to") == 0).join(back, "record_id", "left")
-    side = named.unionByName(unnamed).withColumn("capture_id", F.coalesce("capture_id", "record_id"))
-    item = F.struct("record_id", "date", "uri", "block")
+    side = rest.withColumn("capture_id", F.get("concurrent_to", F.lit(0)))
+    if not rest.filter(F.size("concurrent_to") == 0).isEmpty():
+        back = captures.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id")).distinct()
+        unnamed = side.filter("capture_id IS NULL").drop("capture_id").join(back, "record_id", "left")
+        side = side.filter("capture_id IS NOT NULL").unionByName(unnamed)
+    item = F.struct("record_id", "date", "uri", F.col("block").cast("string").alias("block"))
     pick = lambda kind: F.sort_array(F.collect_list(F.when(F.col("type") == kind, item)))
-    side = side.groupBy("capture_id").agg(pick("request").alias("requests"), pick("metadata").alias("metadata"))
-    http = F.instr("block", "\r\n\r\n")
-    body = F.when(http > 0, F.substr("block", http + 4, F.length("block"))).otherwise(F.lit(""))
-    answer = captures.select(
+    side = side.withColumn("capture_id", F.coalesce("capture_id", "record_id")).groupBy("capture_id").agg(pick("request").alias("requests"), pick("metadata").alias("metadata"))
+    full = F.col("type") == "response"
+    body = F.expr("substring(block, octet_length(http_head) + 5)")
+    sized = F.expr("try_cast(nullif(regexp_extract(http_head, '(?i)\\r\\nContent-Length:[ \\t]*([0-9]+)', 1), '') AS bigint)")
+    answer = captures.withColumn("http_head", F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)).select(
         F.col("record_id").alias("capture_id"),
         F.struct(
-            "record_id", "type", "uri", "date", "refers_to", F.col("digest").alias("payload_digest"),
-            F.when(http > 0, F.substr("block", F.lit(1), http - 1)).otherwise(F.col("block")).alias("http_head"),
-            F.when(F.col("type") == "response", body).alias("payload"),
-            F.when(F.col("type") == "response", F.sha1(body.cast("binary"))).otherwise(F.col("digest")).alias("read_digest"),
-            F.when(F.col("type") == "response", F.octet_length(body).cast("long")).otherwise(F.expr("try_cast(nullif(regexp_extract(block, '(?i)\\r\\nContent-Length:[ \\t]*([0-9]+)', 1), '') AS bigint)")).alias("payload_bytes"),
+            "record_id", "type", "uri", "date", "refers_to", F.col("digest").alias("payload_digest"), "http_head",
+            *[F.when(full, body.cast("string")).alias("payload")] * payloads,
+            F.when(full, F.sha1(body)).otherwise(F.col("digest")).alias("read_digest"),
+            F.when(full, F.octet_length(body).cast("long")).otherwise(sized).alias("payload_bytes"),
             "complete",
         ).alias("response"),
     )
@@ -181,6 +184,6 @@ def page_rows(assembled: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
     """Writes pages to an archive at path, reads it back and returns a row per page; refers_to is the responding page's id."""
     write_archive(pages, path, key, payload, url)
-    rows = page_rows(assemble(read_records(pages.sparkSession, path)))
+    rows = written(page_rows(assemble(read_records(pages.sparkSession, path), payloads=False)), "captures")
     first = rows.filter("refers_id IS NULL").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_id"])
     return rows.join(first, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
