@@ -217,3 +217,21 @@ def round_trip(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: st
 
     schema = T.StructType([docs.schema[key_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select(key_col, F.col(text_col).cast("string").alias("\0text")).mapInArrow(run, schema)
+
+
+def encoded_and_checked(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep columns, n_tokens, ids and round_trips: whether the ids decode to the text (null: empty)."""
+    made = {"n_tokens", "ids", "round_trips"}
+    kept = _kept(docs, keep, made, text_col)
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
+            for i, j in sub_batches(texts, BATCH_CHARS):
+                ids = bpe.encode_batch(texts[i:j])
+                same = [bpe.decode(x) == t for x, t in zip(ids, texts[i:j], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(len(kept))] + [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*kept, "n_tokens", "ids", "round_trips"])
+
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trips", T.BooleanType())])
+    return docs.select(*kept, F.col(text_col).cast("string").alias("\0text")).mapInArrow(run, schema)
