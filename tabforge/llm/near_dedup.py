@@ -6,8 +6,9 @@ form a region.  Within a region the sorted order puts those with the longest com
 dense region neighbours share a deeper prefix: each node is paired with its next NEIGHBOURS in every order.  Pairs are
 confirmed on their full sets and joined into components.  What neighbours can miss is then looked up exactly: in every
 region that still holds more than one component, all nodes outside its largest component are compared by signature
-with all nodes of other components, in blocks of bounded size, and what looks alike is confirmed as before.  No region
-is capped; pairs within a component are never listed.
+with all nodes of other components, in blocks of bounded size.  A node that looks like one of another component is then
+compared with that whole component on full sets, again in blocks.  No region is capped, and pairs are only listed where
+nodes are neighbours: what a block finds is a row for each node and component at most.
 
 A pair at the similarity bound shares a region with probability 1 - (1 - t^DEPTH)^TREES, above 0.9999 at t = 0.8.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import sub_batches, written
 
-TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 512
+TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 256
 #: Shared signature values from which a pair is confirmed: about four standard errors below the bound.
 SLACK = 0.2
 #: Ids of this many nodes at most are broadcast (16 MB); more are joined by a shuffle.
@@ -121,7 +122,17 @@ def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
 
 
 def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, _M) if n == "sig" else batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+    def column(n):
+        c = batch.column(n)
+        if n == "sig":
+            return np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, _M)
+        if n == "members":
+            out = np.empty(len(c), object)
+            out[:] = [np.frombuffer(x, np.uint64) for x in c.to_pylist()]
+            return out
+        return c.to_numpy(zero_copy_only=False)
+
+    return [column(n) for n in names]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -160,40 +171,81 @@ def neighbours(rows: DataFrame, t: float) -> DataFrame:
     return ordered.select("bucket", "id", "n", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_block(batches, names: list[str], each):
+    """each(columns of one block) over batches that are sorted by block; a block that goes on is held."""
+    held = None
+    for batch in batches:
+        new = _columns(batch, names)
+        cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cuts = np.flatnonzero(np.diff(cols[0])) + 1
+        for a, b in zip(np.r_[0, cuts[:-1]] if len(cuts) else (), cuts, strict=True):
+            yield from each([c[a:b] for c in cols[1:]])
+        last = cuts[-1] if len(cuts) else 0
+        held = [c[last:] for c in cols]
+    if held is not None and len(held[0]):
+        yield from each(held[1:])
+
+
 def across(blocks: DataFrame, t: float) -> DataFrame:
-    """Pairs of a base and a probe row of one block whose components differ and whose signatures are alike."""
+    """(probe, comp): a probe row and a component, not its own, of which a base row of its block looks alike by signature."""
 
-    def pairs(block):
+    def suspects(block):
         ids, comp, n, sig, probe = block
         out = []
         for p in np.flatnonzero(probe):
             i = np.flatnonzero(~probe & (comp != comp[p]))
             if len(i):
-                i = i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]
-                out.append((ids[i], np.full(len(i), ids[p])))
+                found = np.unique(comp[i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]])
+                out.append((np.full(len(found), ids[p]), found))
         if out:
-            yield _pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            new = _columns(batch, ["block", "id", "comp", "n", "sig", "probe"])
-            cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
-            for a, b in zip(np.r_[0, cuts[:-1]] if len(cuts) else (), cuts, strict=True):
-                yield from pairs([c[a:b] for c in cols[1:]])
-            last = cuts[-1] if len(cuts) else 0
-            held = [c[last:] for c in cols]
-        if held is not None and len(held[0]):
-            yield from pairs(held[1:])
+            probes, comps = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(probes, pa.int64()), pa.array(comps, pa.int64())], names=["probe", "comp"])
 
+    names = ["block", "id", "comp", "n", "sig", "probe"]
     dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "id", "comp", "n", "sig", "probe").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*names).mapInArrow(lambda batches: _by_block(batches, names, suspects), "probe long, comp long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity: size of the intersection >= t * size of the union."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
+    """Links (a, b) of probes with components of which at least one node reaches the similarity on full sets.
+
+    nodes: id, comp, n, sig of every node.  Each probe is compared with the whole component, in blocks of at most about
+    BLOCK nodes and BLOCK probes; inside a block signatures tell which sets to compare, and the first link ends the search.
+    """
+    sizes = suspects.groupBy("comp").agg(F.count("*").alias("p")).join(nodes.groupBy("comp").agg(F.count("*").alias("c")), "comp")
+    sizes = sizes.select("comp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    as_base = nodes.select("id", "comp").join(sizes, "comp").select("id", "comp", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
+    as_probe = suspects.select(F.col("probe").alias("id"), "comp").join(sizes, "comp").select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
+    rows = written(as_base.union(as_probe).select("id", "comp", "probe", F.xxhash64("comp", "i", "j").alias("block")), "search")
+    sets = _sets(rows.select(F.col("id").alias("doc_id")).distinct(), docs, key, text_col, words)
+    full = rows.join(nodes.select("id", "n", "sig"), "id").join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
+    percent = round(100 * t)
+
+    def links(block):
+        ids, comp, n, sig, members, probe = block
+        base, out = np.flatnonzero(~probe), []
+        for p in np.flatnonzero(probe):
+            alike = base[_alike(n[base], n[p], sig[base], np.broadcast_to(sig[p], (len(base), _M)), t)]
+            for i in alike[np.argsort(-(sig[alike] == sig[p]).sum(1), kind="stable")]:
+                x, y = members[i], members[p]
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                common = int((large[at] == small).sum())
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((ids[p], comp[i]))
+                    break
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    names = ["block", "id", "comp", "n", "sig", "members", "probe"]
+    return full.repartition("block").sortWithinPartitions("block").select(*names).mapInArrow(lambda batches: _by_block(batches, names, links), "a long, b long").distinct()
+
+
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
+    """doc_id and members (sorted hashes of the shingles, 8 bytes each) of the documents with these ids."""
+    ids = written(ids, "ids")
     small = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
 
@@ -202,15 +254,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in sub_batches(texts):
                 sets = shingle_sets(texts[i:j], words)
-                flat, ends = np.concatenate(sets).view(np.int64), np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "members"])
+
+    return texts.mapInArrow(run, "doc_id long, members binary").filter(F.octet_length("members") > 0)
 
-    sets = texts.mapInArrow(run, "doc_id long, members array<bigint>").filter(F.size("members") > 0)
+
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity: size of the intersection >= t * size of the union."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, key, text_col, words)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-    common = F.size(F.array_intersect("ma", "mb"))
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
     percent = round(100 * t)
-    return both.filter(100 * common >= percent * (F.size("ma") + F.size("mb") - common)).select("a", "b").distinct()
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,10 +333,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", wo
     several = linked.select("set_id", F.col("doc_id").alias("b")).distinct().join(reps.select("set_id", F.col("id").alias("a")), "set_id").filter("a != b").select("a", "b")
     several = several.join(linked.groupBy("doc_id").agg(F.count_distinct("set_id").alias("k")).filter("k > 1").select(F.col("doc_id").alias("b")), "b", "left_semi")
     first = components(confirmed(near, docs, key, text_col, words, similarity).union(several.select("a", "b")))
-    rest = written(across(_blocks(regions, first), similarity).join(near, ["a", "b"], "left_anti"), "across")
+    rest = written(across(_blocks(regions, first), similarity), "suspects")
     comps = first
     if not rest.isEmpty():
-        comps = components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(confirmed(rest, docs, key, text_col, words, similarity)))
+        nodes = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        more = searched(rest, nodes, docs, key, text_col, words, similarity)
+        comps = components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
     of = reps.join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
