@@ -1,8 +1,698 @@
-"""Registered queries of the modelling operators and the DuckDB SQL that gives the same rows."""
+"""Registered queries of the modelling operators and the DuckDB SQL that gives the same rows.
+
+Each query applies library operators to the driver's tables with a small modelling task: returned line items
+(l_returnflag = 'R') are the positives and l_quantity is the weight.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabforge.functions import expression, scalar
+from tabforge.operators import binning, correlate, drift, evaluate, merge, metrics, prep, profile, sample, select, transform
+from tabforge.operators.binning import Bins
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with tag and weight."""
+    return prep.tagged(read(spark, sf_dir, "lineitem"), "l_returnflag", ["R"], ["A", "N"], "l_quantity")
+
+
+def items_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with columns of their orders; both sides are cut to what is used before the join."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return items(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# ---- SQL parts -------------------------------------------------------------------------------------------------------
+
+_CELLS = f"cells AS (SELECT tag, w, u.c AS column_name, u.v AS v FROM (SELECT (l_returnflag = 'R')::INT AS tag, l_quantity AS w, UNNEST([{', '.join(f"{{'c': '{c}', 'v': {c}}}" for c in NUMERIC)}]) AS u FROM lineitem))"
+_INTERVAL = """ranges AS (SELECT column_name, min(v) AS lo0, max(v) AS hi0 FROM cells GROUP BY 1),
+ends AS (SELECT column_name, lo0 - 0.0005::DOUBLE * (hi0 - lo0) AS lo, hi0 + 0.0005::DOUBLE * (hi0 - lo0) AS hi FROM ranges),
+bounds AS (SELECT column_name, list_transform(range(1, 10), lambda j: lo + (hi - lo) * j / 10) AS b FROM ends)"""
+_BINNED = "binned AS (SELECT column_name, len(list_filter(b, lambda x: x <= v))::INT AS bin, tag, w FROM cells JOIN bounds USING (column_name))"
+_COUNTS = "counts AS (SELECT column_name, bin, sum(tag)::BIGINT AS pos, sum(1 - tag)::BIGINT AS neg, sum(CASE WHEN tag = 1 THEN w ELSE 0.0 END) AS weighted_pos, sum(CASE WHEN tag = 0 THEN w ELSE 0.0 END) AS weighted_neg FROM binned GROUP BY 1, 2)"
+_WITH_COUNTS = f"WITH {_CELLS}, {_INTERVAL}, {_BINNED}, {_COUNTS}"
+
+
+def _shares(p: str, n: str) -> str:
+    part = "PARTITION BY column_name"
+    return f"""SELECT column_name, bin, {p} AS p, {n} AS n, {p}::DOUBLE / sum({p}) OVER ({part}) AS sp, {n}::DOUBLE / sum({n}) OVER ({part}) AS sn,
+ abs(sum({p}) OVER ({part} ORDER BY bin)::DOUBLE / sum({p}) OVER ({part}) - sum({n}) OVER ({part} ORDER BY bin)::DOUBLE / sum({n}) OVER ({part})) AS gap FROM counts"""
+
+
+def _separation(p: str, n: str) -> str:
+    return f"SELECT column_name, count(*)::BIGINT AS bins, round(100 * max(gap), 6) AS ks, round(sum((sn - sp) * ln((sn + 1e-10) / (sp + 1e-10))), 6) AS iv, round(ln((sum(n) + 1e-10) / (sum(p) + 1e-10)), 6) AS woe FROM ({_shares(p, n)}) GROUP BY 1"
+
+
+def _interval_table(spark, sf_dir, extra=None):
+    df = items(spark, sf_dir)
+    bins = binning.equal_interval(df, NUMERIC)
+    return df, bins, binning.bin_counts(df, bins, "tag", "weight", extra)
+
+
+# ---- separation and bins ---------------------------------------------------------------------------------------------
+
+
+@query(f"{_WITH_COUNTS} {_separation('pos', 'neg')}")
+def ks_iv_equal_interval(spark, sf_dir):
+    _, _, table = _interval_table(spark, sf_dir)
+    return rounded(metrics.separation(table).select("column_name", "bins", "ks", "iv", "woe"))
+
+
+@query(f"{_WITH_COUNTS} {_separation('weighted_pos', 'weighted_neg')}")
+def weighted_ks_iv(spark, sf_dir):
+    _, _, table = _interval_table(spark, sf_dir)
+    return rounded(metrics.separation(table).select("column_name", "bins", F.col("weighted_ks").alias("ks"), F.col("weighted_iv").alias("iv"), F.col("weighted_woe").alias("woe")))
+
+
+@query(f"""{_WITH_COUNTS}, s AS ({_shares('pos', 'neg')}), t AS ({_shares('weighted_pos', 'weighted_neg')})
+SELECT s.column_name, s.bin, s.p AS pos, s.n AS neg, round(s.p / (s.p + s.n)::DOUBLE, 6) AS pos_rate, round(ln((s.sn + 1e-10) / (s.sp + 1e-10)), 6) AS woe, round(ln((t.sn + 1e-10) / (t.sp + 1e-10)), 6) AS weighted_woe
+FROM s JOIN t ON s.column_name = t.column_name AND s.bin = t.bin""")
+def woe_table(spark, sf_dir):
+    _, _, table = _interval_table(spark, sf_dir)
+    return rounded(metrics.with_woe(table).select("column_name", "bin", "pos", "neg", "pos_rate", "woe", "weighted_woe"))
+
+
+def _quantile_bounds(where: str, k: int = 10) -> str:
+    qs = ", ".join(f"{j / k}" for j in range(1, k))
+    return f"bounds AS (SELECT column_name, list_sort(list_distinct(quantile_cont(v, [{qs}]))) AS b FROM cells {where} GROUP BY 1)"
+
+
+def _bin_rows(where: str) -> str:
+    return f"WITH {_CELLS}, {_quantile_bounds(where)}, {_BINNED}, {_COUNTS} SELECT column_name, bin, pos, neg, round(weighted_pos, 4) AS weighted_pos, round(weighted_neg, 4) AS weighted_neg FROM counts WHERE column_name <> 'l_extendedprice'"
+
+
+def _population_bins(spark, sf_dir, method):
+    df = items(spark, sf_dir)
+    bins = binning.equal_population(df, [c for c in NUMERIC if c != "l_extendedprice"], 10, method, exact=True)
+    return rounded(binning.bin_counts(df, bins, "tag", "weight"), 4)
+
+
+@query(_bin_rows(""))
+def bins_equal_total(spark, sf_dir):
+    return _population_bins(spark, sf_dir, "EqualTotal")
+
+
+@query(_bin_rows("WHERE tag = 1"))
+def bins_equal_positive(spark, sf_dir):
+    return _population_bins(spark, sf_dir, "EqualPositive")
+
+
+@query(_bin_rows("WHERE tag = 0"))
+def bins_equal_negative(spark, sf_dir):
+    return _population_bins(spark, sf_dir, "EqualNegative")
+
+
+_WEIGHTED = f"""WITH {_CELLS}, per AS (SELECT v, sum(w) AS w FROM cells WHERE column_name = 'l_discount' GROUP BY 1),
+cum AS (SELECT v, w, sum(w) OVER (ORDER BY v) AS c FROM per), tot AS (SELECT max(c) AS t FROM cum),
+cuts AS (SELECT DISTINCT v FROM cum, tot, range(1, 10) r(j) WHERE t * j / 10 > c - w AND t * j / 10 <= c),
+bounds AS (SELECT 'l_discount' AS column_name, list_sort(list(v)) AS b FROM cuts), {_BINNED}, {_COUNTS}
+SELECT column_name, bin, pos, neg, round(weighted_pos, 4) AS weighted_pos, round(weighted_neg, 4) AS weighted_neg FROM counts"""
+
+
+@query(_WEIGHTED)
+def bins_weighted(spark, sf_dir):
+    df = items(spark, sf_dir)
+    return rounded(binning.bin_counts(df, [binning.weighted_population(df, "l_discount")], "tag", "weight"), 4)
+
+
+_NATIVE = f"""WITH {_CELLS}, per AS (SELECT v, count(*) AS n FROM cells WHERE column_name = 'l_tax' GROUP BY 1),
+cum AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS c FROM per), tot AS (SELECT ceil(max(c) / 10.0) AS s FROM cum),
+cuts AS (SELECT DISTINCT v FROM cum, tot, range(1, 10) r(j) WHERE s * j >= c - n AND s * j < c),
+bounds AS (SELECT 'l_tax' AS column_name, list_sort(list(v)) AS b FROM cuts), {_BINNED}, {_COUNTS}
+SELECT column_name, bin, pos, neg FROM counts"""
+
+
+@query(_NATIVE)
+def bins_native(spark, sf_dir):
+    df = items(spark, sf_dir)
+    return binning.bin_counts(df, [binning.native(df, "l_tax")], "tag").select("column_name", "bin", "pos", "neg")
+
+
+_CATS = ["o_orderpriority", "o_orderstatus", "l_linestatus"]
+_CAT_CELLS = f"cells AS (SELECT tag, w, u.c AS column_name, u.v AS v FROM (SELECT (l_returnflag = 'R')::INT AS tag, l_quantity AS w, UNNEST([{', '.join(f"{{'c': '{c}', 'v': {c}}}" for c in _CATS)}]) AS u FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"
+_CAT_COUNTS = f"{_CAT_CELLS}, named AS (SELECT column_name, v, (row_number() OVER (PARTITION BY column_name ORDER BY v) - 1)::INT AS bin FROM (SELECT DISTINCT column_name, v FROM cells)), binned AS (SELECT column_name, bin, v, tag, w FROM cells JOIN named USING (column_name, v)), {_COUNTS}"
+
+
+@query(f"WITH {_CAT_COUNTS} SELECT c.column_name, c.bin, named.v AS label, pos, neg, round(pos / (pos + neg)::DOUBLE, 6) AS pos_rate FROM counts c JOIN named ON c.column_name = named.column_name AND c.bin = named.bin")
+def bins_categorical(spark, sf_dir):
+    df = items_orders(spark, sf_dir)
+    bins = binning.categories(df, _CATS)
+    labels = F.create_map(*[x for b in bins for i in range(b.size) for x in (F.lit(f"{b.name}/{i}"), F.lit(b.label(i)))])
+    t = metrics.with_woe(binning.bin_counts(df, bins))
+    return rounded(t.select("column_name", "bin", F.element_at(labels, F.concat_ws("/", "column_name", "bin")).alias("label"), "pos", "neg", "pos_rate"))
+
+
+@query(f"WITH {_CAT_COUNTS}, r AS (SELECT column_name, pos / (pos + neg)::DOUBLE AS r, (pos + neg)::DOUBLE AS n FROM counts) SELECT column_name, round(min(r), 6) AS min, round(max(r), 6) AS max, round(sum(r * n) / sum(n), 6) AS mean, round(sqrt(abs((sum(r * r * n) - sum(r * n) * sum(r * n) / sum(n) + 1e-6) / (sum(n) - 1))), 6) AS std_dev FROM r GROUP BY 1")
+def categorical_pos_rate(spark, sf_dir):
+    df = items_orders(spark, sf_dir)
+    return rounded(profile.categorical(binning.bin_counts(df, binning.categories(df, _CATS))))
+
+
+#: A column with missing tokens, text and numbers, made of the events alike on both sides.
+_MESSY = "CASE WHEN event_id % 7 = 0 THEN '?' WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN event_type ELSE CAST(CAST(floor(value) AS INT) AS VARCHAR) END"
+
+
+def messy(spark, sf_dir):
+    return read(spark, sf_dir, "events").withColumn("messy", F.expr(_MESSY.replace("VARCHAR", "STRING"))).withColumn("tag", (F.col("user_id") % 2).cast("int"))
+
+
+_HYBRID = f"""WITH e AS (SELECT {_MESSY} AS m, (user_id % 2)::INT AS tag FROM events), x AS (SELECT m, tag, CASE WHEN TRY_CAST(m AS DOUBLE) >= 10 THEN TRY_CAST(m AS DOUBLE) END AS v FROM e),
+b AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.25, 0.5, 0.75]))) AS b FROM x),
+c AS (SELECT list_sort(list_distinct(list(trim(m)))) AS g FROM x WHERE v IS NULL AND m IS NOT NULL AND trim(m) NOT IN ('', '?'))
+SELECT 'messy' AS column_name, (CASE WHEN v IS NOT NULL THEN len(list_filter(b, lambda y: y <= v)) WHEN m IS NULL OR trim(m) IN ('', '?') THEN len(b) + 1 + len(g) ELSE len(b) + list_position(g, trim(m)) END)::INT AS bin,
+ sum(tag)::BIGINT AS pos, sum(1 - tag)::BIGINT AS neg FROM x, b, c GROUP BY 1, 2"""
+
+
+@query(_HYBRID)
+def hybrid_bins(spark, sf_dir):
+    df = messy(spark, sf_dir)
+    return binning.bin_counts(df, [binning.hybrid(df, "messy", 10.0, 4, exact=True)]).select("column_name", "bin", "pos", "neg")
+
+
+@query(f"""WITH base AS (SELECT (l_returnflag = 'R')::INT AS tag, l_quantity AS w, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
+seg AS (SELECT 0 AS segment, * FROM base UNION ALL SELECT 1, * FROM base WHERE l_tax <= 0.04 UNION ALL SELECT 2, * FROM base WHERE l_quantity > 25 AND l_discount <> 0.05)
+SELECT segment::INT AS segment, count(*)::BIGINT AS total, sum(tag)::BIGINT AS pos, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS mean_discount FROM seg GROUP BY 1""")
+def segment_stats(spark, sf_dir):
+    s = prep.segmented(items(spark, sf_dir), ["l_tax <= 0.04", "l_quantity > 25 and l_discount != 0.05"])
+    out = s.groupBy("segment").agg(F.count("*").alias("total"), F.sum("tag").cast("bigint").alias("pos"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+    return out
+
+
+# ---- profiles --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CELLS} SELECT column_name, count(*)::BIGINT AS total, (count(*) - count(v))::BIGINT AS missing, count(v)::BIGINT AS valid, round(sum(v), 2) AS sum, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean,
+ round(sqrt(abs((sum(v * v) - sum(v) * sum(v) / count(v) + 1e-6) / (count(v) - 1))), 5) AS std_dev FROM cells GROUP BY 1""")
+def column_moments(spark, sf_dir):
+    p = profile.numeric(read(spark, sf_dir, "lineitem"), NUMERIC)
+    return p.select("column_name", "total", "missing", "valid", F.round("sum", 2).alias("sum"), "min", "max", F.round("mean", 6).alias("mean"), F.round("std_dev", 5).alias("std_dev"))
+
+
+@query(f"""WITH {_CELLS}, m AS (SELECT column_name, count(v)::DOUBLE AS n, avg(v) AS m FROM cells GROUP BY 1), c AS (SELECT column_name, n, sum((v - m) ** 2) / n + 1e-6 / n AS var, sum((v - m) ** 3) / n AS k3, sum((v - m) ** 4) / n AS k4 FROM cells JOIN m USING (column_name) GROUP BY 1, 2)
+SELECT column_name, round(k3 / var ** 1.5, 4) AS skewness, round(k4 / (var * var), 4) AS kurtosis FROM c""")
+def skew_kurtosis(spark, sf_dir):
+    return profile.numeric(read(spark, sf_dir, "lineitem"), NUMERIC).select("column_name", F.round("skewness", 4).alias("skewness"), F.round("kurtosis", 4).alias("kurtosis"))
+
+
+@query(f"SELECT 'messy' AS column_name, count(*)::BIGINT AS total, sum((m IS NULL OR trim(m) IN ('', '?'))::INT)::BIGINT AS missing, sum((m IS NOT NULL AND trim(m) NOT IN ('', '?') AND TRY_CAST(m AS DOUBLE) IS NULL)::INT)::BIGINT AS not_numeric FROM (SELECT {_MESSY} AS m FROM events)")
+def column_missing(spark, sf_dir):
+    return profile.missing_counts(messy(spark, sf_dir), ["messy"])
+
+
+@query(f"WITH {_CELLS} SELECT column_name, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75 FROM cells GROUP BY 1")
+def quantiles_exact(spark, sf_dir):
+    q = profile.quantiles(read(spark, sf_dir, "lineitem"), NUMERIC, exact=True)
+    return q.select("column_name", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p25", "median", "p75"))])
+
+
+@query(f"""{_WITH_COUNTS}, ext AS (SELECT column_name, min(v) AS mn, max(v) AS mx FROM cells GROUP BY 1),
+c AS (SELECT column_name, bin, (pos + neg)::DOUBLE AS n, greatest(CASE WHEN bin = 0 THEN '-infinity'::DOUBLE ELSE b[bin] END, mn) AS lo, least(CASE WHEN bin = len(b) THEN 'infinity'::DOUBLE ELSE b[bin + 1] END, mx) AS hi FROM counts JOIN bounds USING (column_name) JOIN ext USING (column_name)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY column_name ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY column_name) AS total FROM c)
+SELECT column_name, k::INT AS quarter, round(lo + (hi - lo) * (floor(total / 4 * k) - upto + n) / n, 5) AS value FROM s, range(1, 4) r(k) WHERE upto >= floor(total / 4 * k) AND upto - n < floor(total / 4 * k)""")
+def quantiles_binned(spark, sf_dir):
+    df, bins, table = _interval_table(spark, sf_dir)
+    low_high = spark.createDataFrame([(b.name, i, lo, hi) for b in bins for i, (lo, hi) in enumerate(zip(b.bounds, [*b.bounds[1:], float("inf")], strict=True))], "column_name string, bin int, low double, high double")
+    return rounded(metrics.binned_quantiles(table, low_high, profile.numeric(df, NUMERIC)), 5)
+
+
+@query("SELECT column_name, list_sort(list_distinct(list(v)))[1:3] AS samples FROM (SELECT UNNEST(['o_orderpriority', 'o_orderstatus']) AS column_name, UNNEST([o_orderpriority, o_orderstatus]) AS v FROM orders) GROUP BY 1".replace("samples", "s0").replace("list_sort(list_distinct(list(v)))[1:3] AS s0", "array_to_string(list_sort(list_distinct(list(v)))[1:3], '|') AS samples"))
+def sample_values(spark, sf_dir):
+    return profile.samples(read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], 3).select("column_name", F.array_join("samples", "|").alias("samples"))
+
+
+@query("""SELECT * FROM (VALUES ('l_quantity', 'N'), ('l_returnflag', 'C'), ('flag', 'N'), ('l_linestatus', 'C'), ('l_tax', 'N')) t(column_name, column_type)""")
+def auto_type(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").withColumn("flag", (F.col("l_quantity") > 25).cast("int"))
+    return profile.infer_types(df, ["l_quantity", "l_returnflag", "flag", "l_linestatus", "l_tax"]).select("column_name", "column_type")
+
+
+@query()
+def approx_distinct(spark, sf_dir):
+    return profile.distinct(read(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
+
+
+@query()
+def quantiles_sketch(spark, sf_dir):
+    q = profile.quantiles(read(spark, sf_dir, "lineitem"), NUMERIC)
+    return q.select("column_name", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))])
+
+
+@query("SELECT count(*)::BIGINT AS rows, sum((l_returnflag = 'R')::INT)::BIGINT AS pos, sum((l_returnflag = 'A')::INT)::BIGINT AS neg, sum((l_returnflag = 'N')::INT)::BIGINT AS invalid_tags, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END), 2) AS weighted_pos, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END), 2) AS weighted_neg, 0::BIGINT AS weight_exceptions FROM lineitem")
+def tag_counters(spark, sf_dir):
+    return rounded(prep.counters(read(spark, sf_dir, "lineitem"), "l_returnflag", ["R"], ["A"], "l_quantity"), 2)
+
+
+@query(f"WITH {_CELLS} SELECT column_name, count(*)::BIGINT AS cells, count(DISTINCT v)::BIGINT AS distinct_values FROM cells GROUP BY 1")
+def unpivot_cells(spark, sf_dir):
+    long = prep.cells(items(spark, sf_dir), NUMERIC, ["tag", "weight"])
+    return long.groupBy("column_name").agg(F.count("*").alias("cells"), F.count_distinct("value").alias("distinct_values"))
+
+
+# ---- drift and correlation -------------------------------------------------------------------------------------------
+
+_UNIT = f"""WITH c0 AS (SELECT (year(l_shipdate))::VARCHAR AS unit, u.c AS column_name, u.v AS v FROM (SELECT l_shipdate, UNNEST([{', '.join(f"{{'c': '{c}', 'v': {c}}}" for c in NUMERIC)}]) AS u FROM lineitem)),
+cells AS (SELECT unit, column_name, v FROM c0), {_INTERVAL},
+n AS (SELECT unit, column_name, len(list_filter(b, lambda x: x <= v))::INT AS bin, count(*) AS rows FROM cells JOIN bounds USING (column_name) GROUP BY 1, 2, 3)"""
+_PSI = f"{_UNIT}, a AS (SELECT unit, column_name, bin, rows::DOUBLE / sum(rows) OVER (PARTITION BY unit, column_name) AS a FROM n), e AS (SELECT column_name, bin, sum(rows)::DOUBLE / sum(sum(rows)) OVER (PARTITION BY column_name) AS e FROM n GROUP BY 1, 2)"
+
+
+def _yearly(spark, sf_dir):
+    df = items(spark, sf_dir).withColumn("year", F.year("l_shipdate").cast("string"))
+    return drift.population(df, binning.equal_interval(df, NUMERIC), "year")
+
+
+@query(f"{_UNIT} SELECT unit, column_name, bin, rows::BIGINT AS rows FROM n")
+def population_counts(spark, sf_dir):
+    return _yearly(spark, sf_dir)
+
+
+@query(f"{_PSI} SELECT unit, column_name, round(sum((a - e) * ln(a / e)), 6) AS psi FROM a JOIN e USING (column_name, bin) GROUP BY 1, 2")
+def psi_by_unit(spark, sf_dir):
+    return rounded(drift.psi(_yearly(spark, sf_dir), per_unit=True))
+
+
+@query(f"{_PSI} SELECT column_name, round(sum((a - e) * ln(a / e)), 6) AS psi FROM a JOIN e USING (column_name, bin) GROUP BY 1")
+def psi_total(spark, sf_dir):
+    return rounded(drift.psi(_yearly(spark, sf_dir)))
+
+
+@query(f"WITH e AS (SELECT event_type AS unit, TRY_CAST({_MESSY} AS DOUBLE) AS v FROM events) SELECT unit, 'messy' AS column_name, count(*)::BIGINT AS total, round(1 - count(v) / count(*)::DOUBLE, 6) AS missing_rate, round(avg(v), 6) AS mean FROM e GROUP BY 1")
+def unit_profiles(spark, sf_dir):
+    return rounded(drift.unit_stats(messy(spark, sf_dir), ["messy"], "event_type"))
+
+
+_CORR = [*NUMERIC, "tag"]
+_CORR_VALUES = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "CASE WHEN l_linenumber % 5 <> 0 THEN l_discount END", "l_tax": "l_tax", "tag": "(l_returnflag = 'R')::INT"}
+_CORR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(CASE WHEN x.{a} IS NOT NULL AND x.{b} IS NOT NULL THEN 1 END)::BIGINT AS n, round(corr(x.{a}, x.{b}), 6) AS r FROM x" for a in _CORR for b in _CORR
+)
+
+
+@query(f"WITH x AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _CORR_VALUES.items())} FROM lineitem) {_CORR_SQL}")
+def correlation_matrix(spark, sf_dir):
+    df = items(spark, sf_dir)
+    cols: dict[str, Column] = {c: F.col(c) for c in NUMERIC} | {"l_discount": F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount")), "tag": F.col("tag")}
+    m = correlate.matrix(df, {c: cols[c] for c in _CORR})
+    return rounded(m)
+
+
+# ---- filters, sampling, merging, scalars -----------------------------------------------------------------------------
+
+_FILTER = "(l_quantity >= 10 and l_discount < 0.06) || (l_returnflag == 'A' && !(l_tax > 0.05)) && l_linestatus != null"
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_quantity >= 10 AND l_discount < 0.06) OR (l_returnflag = 'A' AND NOT (l_tax > 0.05) AND l_linestatus IS NOT NULL)")
+def filter_expr(spark, sf_dir):
+    return expression.keep_rows(read(spark, sf_dir, "lineitem"), _FILTER).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 0.5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END, 4) AS w, substring(o_orderpriority, 3, 3) AS part FROM orders WHERE substring(o_orderpriority, 1, 1) = '1'")
+def expression_values(spark, sf_dir):
+    df = expression.keep_rows(read(spark, sf_dir, "orders"), "o_orderpriority.substring(0, 1) == '1'", strict=True)
+    w = F.expr(expression.value_sql("o_totalprice * 0.5 + NumberUtils.max(0, 1 - o_orderkey % 3)"))
+    return df.select("o_orderkey", F.round(w, 4).alias("w"), F.expr("substring(o_orderpriority, 3, 3)").alias("part"))
+
+
+def _draw(key: Column, seed: int) -> Column:
+    return F.pmod(key * 7 + F.lit(seed), F.lit(100)).cast("double") / 100
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' OR ((l_orderkey * 10 + l_linenumber) * 7 + 3) % 100 < 30")
+def hash_sample(spark, sf_dir):
+    df = items(spark, sf_dir)
+    return sample.rows(df, 0.3, F.col("l_orderkey") * 10 + F.col("l_linenumber"), 3, "tag", _draw).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderkey * 7) % 100 < CASE o_orderstatus WHEN 'F' THEN 20 WHEN 'O' THEN 50 ELSE 0 END")
+def stratified_sample(spark, sf_dir):
+    return sample.stratified(read(spark, sf_dir, "orders"), {"F": 0.2, "O": 0.5}, "o_orderstatus", F.col("o_orderkey"), draw=_draw).select("o_orderkey", "o_orderstatus")
+
+
+@query()
+def kfold_assign(spark, sf_dir):
+    return read(spark, sf_dir, "orders").groupBy(sample.fold(F.col("o_orderkey"), 5).alias("fold")).agg(F.count("*").alias("rows"))
+
+
+@query()
+def bagging(spark, sf_dir):
+    df = sample.with_bags(read(spark, sf_dir, "orders"), 3, 1.0, F.col("o_orderkey"), replacement=True)
+    return df.select(F.posexplode("bags").alias("bag", "times")).groupBy("bag", "times").agg(F.count("*").alias("rows"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS uid, c_mktsegment AS segment FROM customer), o AS (SELECT o_custkey AS uid, o_totalprice AS price, o_orderstatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderstatus) AS n FROM orders) WHERE n = 1),
+s AS (SELECT s_suppkey AS uid, s_name AS name FROM supplier) SELECT uid, segment, price, status, name FROM c JOIN o USING (uid) JOIN s USING (uid)""")
+def keyed_merge(spark, sf_dir):
+    r = lambda n: read(spark, sf_dir, n)
+    return merge.keyed([(r("customer"), "c_custkey", {"c_mktsegment": "segment"}), (r("orders"), "o_custkey", {"o_totalprice": "price", "o_orderstatus": "status"}), (r("supplier"), "s_suppkey", {"s_name": "name"})])
+
+
+@query("SELECT n_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def side_join(spark, sf_dir):
+    side = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return merge.with_side(read(spark, sf_dir, "customer").select("c_nationkey"), side, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("customers"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE epoch(date_trunc('day', o_orderdate))::BIGINT END AS unix_time FROM orders")
+def unix_time(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 9 == 0, "bad date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.to_unix_time(text).alias("unix_time"))
+
+
+@query("SELECT user_id, len(string_split(string_agg(event_type, ',' ORDER BY event_id), ','))::INT AS n, string_agg(event_type, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
+def concat_log(spark, sf_dir):
+    n, parts = scalar.concat_log("event_type", "event_id")
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("n"), F.array_join(parts, ",").alias("items"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '2.5' WHEN 2 THEN 'x' ELSE '-3' END AS tag FROM orders")
+def tag_trim(spark, sf_dir):
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN ' 1.00 ' WHEN 1 THEN '2.50' WHEN 2 THEN 'x ' ELSE '-3.0' END")
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.trim_tag(text).alias("tag"))
+
+
+# ---- normalisation ---------------------------------------------------------------------------------------------------
+
+_NORM_COLS = ["l_quantity", "l_discount", "o_orderpriority"]
+
+
+def _norm_stats(spark, sf_dir):
+    df = items_orders(spark, sf_dir)
+    bins = [*binning.equal_interval(df, _NORM_COLS[:2]), *binning.categories(df, _NORM_COLS[2:])]
+    return df, transform.column_stats(bins, binning.bin_counts(df, bins, "tag", "weight"), profile.numeric(df, _NORM_COLS[:2]))
+
+
+def _norm(kind: str):
+    def f(spark, sf_dir):
+        df, stats = _norm_stats(spark, sf_dir)
+        return rounded(transform.normalize(df, stats, kind, keep=["l_orderkey", "l_linenumber", "tag"]), 5)
+
+    f.__name__ = f"norm_{kind.lower()}"
+    return f
+
+
+_NB = f"""WITH li AS (SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS tag, l_quantity AS w, l_quantity, l_discount, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+cells AS (SELECT tag, w, u.c AS column_name, u.v AS v FROM (SELECT tag, w, UNNEST([{{'c': 'l_quantity', 'v': l_quantity}}, {{'c': 'l_discount', 'v': l_discount}}]) AS u FROM li)), {_INTERVAL}, {_BINNED},
+counts AS (SELECT column_name, bin::VARCHAR AS k, bin, sum(tag)::DOUBLE AS p, sum(1 - tag)::DOUBLE AS n, sum(tag * w) AS wp, sum((1 - tag) * w) AS wn FROM binned GROUP BY 1, 2, 3 UNION ALL SELECT 'o_orderpriority', o_orderpriority, 0, sum(tag)::DOUBLE, sum(1 - tag)::DOUBLE, sum(tag * w), sum((1 - tag) * w) FROM li GROUP BY 2),
+per AS (SELECT column_name, k, p + n AS rows, wp + wn AS wrows, p / (p + n) AS rate, ln((n / sum(n) OVER c + 1e-10) / (p / sum(p) OVER c + 1e-10)) AS woe, ln((wn / sum(wn) OVER c + 1e-10) / (wp / sum(wp) OVER c + 1e-10)) AS wwoe, row_number() OVER (PARTITION BY column_name ORDER BY k) - 1 AS idx FROM counts WINDOW c AS (PARTITION BY column_name)),
+mom AS (SELECT column_name, avg(v) AS m, sqrt(abs((sum(v * v) - sum(v) * sum(v) / count(v) + 1e-6) / (count(v) - 1))) AS s, min(v) AS mn, max(v) AS mx FROM cells GROUP BY 1 UNION ALL SELECT 'o_orderpriority', sum(rate * rows) / sum(rows), sqrt(abs((sum(rate * rate * rows) - sum(rate * rows) ** 2 / sum(rows) + 1e-6) / (sum(rows) - 1))), 0, 0 FROM per WHERE column_name = 'o_orderpriority'),
+wm AS (SELECT column_name, sum(woe * rows) / sum(rows) AS m, sqrt(abs((sum(woe * woe * rows) - sum(woe * rows) ** 2 / sum(rows)) / (sum(rows) - 1))) AS s, sum(wwoe * wrows) / sum(wrows) AS wmn, sqrt(abs((sum(wwoe * wwoe * wrows) - sum(wwoe * wrows) ** 2 / sum(wrows)) / (sum(wrows) - 1))) AS ws FROM per GROUP BY 1),
+x AS (SELECT li.*, len(list_filter(bq.b, lambda y: y <= l_quantity))::VARCHAR AS kq, len(list_filter(bd.b, lambda y: y <= l_discount))::VARCHAR AS kd, CASE WHEN len(list_filter(bq.b, lambda y: y <= l_quantity)) = 0 THEN mq.mn ELSE bq.b[len(list_filter(bq.b, lambda y: y <= l_quantity))] END AS lq, CASE WHEN len(list_filter(bd.b, lambda y: y <= l_discount)) = 0 THEN md.mn ELSE bd.b[len(list_filter(bd.b, lambda y: y <= l_discount))] END AS ld
+ FROM li, bounds bq, bounds bd, mom mq, mom md WHERE bq.column_name = 'l_quantity' AND bd.column_name = 'l_discount' AND mq.column_name = 'l_quantity' AND md.column_name = 'l_discount'),
+j AS (SELECT x.*, q.woe AS qwoe, q.wwoe AS qwwoe, d.woe AS dwoe, d.wwoe AS dwwoe, o.woe AS owoe, o.wwoe AS owwoe, o.rate AS orate, o.idx AS oidx, mq.m AS qm, mq.s AS qs, mq.mn AS qmn, mq.mx AS qmx, md.m AS dm, md.s AS ds, md.mn AS dmn, md.mx AS dmx, mo.m AS om, mo.s AS os, wq.m AS wqm, wq.s AS wqs, wq.wmn AS wwqm, wq.ws AS wwqs, wd.m AS wdm, wd.s AS wds, wd.wmn AS wwdm, wd.ws AS wwds, wo.m AS wom, wo.s AS wos, wo.wmn AS wwom, wo.ws AS wwos
+ FROM x JOIN per q ON q.column_name = 'l_quantity' AND q.k = kq JOIN per d ON d.column_name = 'l_discount' AND d.k = kd JOIN per o ON o.column_name = 'o_orderpriority' AND o.k = o_orderpriority, mom mq, mom md, mom mo, wm wq, wm wd, wm wo
+ WHERE mq.column_name = 'l_quantity' AND md.column_name = 'l_discount' AND mo.column_name = 'o_orderpriority' AND wq.column_name = 'l_quantity' AND wd.column_name = 'l_discount' AND wo.column_name = 'o_orderpriority')"""
+
+
+def _z(v: str, m: str, s: str) -> str:
+    return f"CASE WHEN {s} <= 1e-5 THEN 0.0 ELSE (greatest(least({v}, {m} + 6.0 * {s}), {m} - 6.0 * {s}) - {m}) / {s} END"
+
+
+_NORM_SQL = {
+    "ZSCALE": (_z("l_quantity", "qm", "qs"), _z("l_discount", "dm", "ds"), _z("orate", "om", "os")),
+    "OLD_ZSCALE": (_z("l_quantity", "qm", "qs"), _z("l_discount", "dm", "ds"), "orate"),
+    "WOE": ("qwoe", "dwoe", "owoe"),
+    "WEIGHT_WOE": ("qwwoe", "dwwoe", "owwoe"),
+    "HYBRID": (_z("l_quantity", "qm", "qs"), _z("l_discount", "dm", "ds"), "owoe"),
+    "WEIGHT_HYBRID": (_z("l_quantity", "qm", "qs"), _z("l_discount", "dm", "ds"), "owwoe"),
+    "WOE_ZSCALE": (_z("qwoe", "wqm", "wqs"), _z("dwoe", "wdm", "wds"), _z("owoe", "wom", "wos")),
+    "WEIGHT_WOE_ZSCALE": (_z("qwwoe", "wwqm", "wwqs"), _z("dwwoe", "wwdm", "wwds"), _z("owwoe", "wwom", "wwos")),
+    "ASIS_WOE": ("l_quantity", "l_discount", "owoe"),
+    "ASIS_PR": ("l_quantity", "l_discount", "orate"),
+    "DISCRETE_ZSCALE": (_z("lq", "qm", "qs"), _z("ld", "dm", "ds"), _z("orate", "om", "os")),
+    "ZSCALE_INDEX": (_z("l_quantity", "qm", "qs"), _z("l_discount", "dm", "ds"), "oidx"),
+    "WOE_INDEX": ("qwoe", "dwoe", "oidx"),
+    "WOE_ZSCALE_INDEX": (_z("qwoe", "wqm", "wqs"), _z("dwoe", "wdm", "wds"), "oidx"),
+    "MAXMIN": ("(l_quantity - qmn) / (qmx - qmn)", "(l_discount - dmn) / (dmx - dmn)", "orate"),
+}
+for _kind, _cols in _NORM_SQL.items():
+    query(f"{_NB} SELECT l_orderkey, l_linenumber, tag, {', '.join(f'round(({v})::DOUBLE, 5) AS {n}' for n, v in zip(_NORM_COLS, _cols, strict=True))} FROM j")(_norm(_kind))
+
+
+@query(f"{_NB} SELECT l_orderkey, l_linenumber, tag, {', '.join(f'(kd = {chr(39)}{i}{chr(39)})::INT::DOUBLE AS l_discount_{i}' for i in range(10))}, 0.0::DOUBLE AS l_discount_10, {', '.join(f'(oidx = {i})::INT::DOUBLE AS o_orderpriority_{i}' for i in range(5))}, 0.0::DOUBLE AS o_orderpriority_5 FROM j")
+def norm_onehot(spark, sf_dir):
+    df, stats = _norm_stats(spark, sf_dir)
+    return transform.normalize(df, {k: stats[k] for k in _NORM_COLS[1:]}, "ONEHOT", keep=["l_orderkey", "l_linenumber", "tag"])
+
+
+@query(f"{_NB} SELECT l_orderkey, l_linenumber, round(({_z('l_quantity', 'qm', 'qs')})::DOUBLE, 5) AS l_quantity, {', '.join(f'(oidx = {i})::INT::DOUBLE AS o_orderpriority_{i}' for i in range(5))}, 0.0::DOUBLE AS o_orderpriority_5 FROM j")
+def norm_zscale_onehot(spark, sf_dir):
+    df, stats = _norm_stats(spark, sf_dir)
+    return rounded(transform.normalize(df, {k: stats[k] for k in ("l_quantity", "o_orderpriority")}, "ZSCALE_ONEHOT", keep=["l_orderkey", "l_linenumber"]), 5)
+
+
+# ---- scoring and evaluation ------------------------------------------------------------------------------------------
+
+#: Three linear scores of a line item, the same expressions on both sides.
+_SCORES = ["0.4 + 0.008 * l_quantity - 2.0 * l_discount", "0.3 + 0.000004 * l_extendedprice", "0.9 - 0.01 * l_linenumber - 3.0 * l_tax"]
+_KEY = "(l_orderkey * 10 + l_linenumber) * 1000000000000 + l_partkey * 20000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
+def scored(spark, sf_dir):
+    df = items(spark, sf_dir).withColumn("id", F.expr(_KEY)).withColumn("scores", F.array(*[F.expr(s) for s in _SCORES]))
+    return df.withColumns(evaluate.score_summary(F.col("scores"))).withColumn("score", F.round("mean", 6))
+
+
+_SCORED_SQL = f"scored AS (SELECT *, round(list_avg(s), 6) AS score FROM (SELECT {_KEY} AS id, (l_returnflag = 'R')::INT AS tag, l_quantity AS w, l_discount, l_quantity, l_tax, [{', '.join(_SCORES)}] AS s FROM lineitem))"
+
+
+@query(f"WITH {_SCORED_SQL} SELECT id, round(list_avg(s), 9) AS mean, round(list_max(s), 9) AS max, round(list_min(s), 9) AS min, round(list_sort(s)[2], 9) AS median, round(s[1] * 1 + s[2] * 2 + s[3] * 5, 9) AS weighted FROM scored")
+def score_aggregate(spark, sf_dir):
+    df = scored(spark, sf_dir)
+    weighted = evaluate.score_summary(F.col("scores"), [1.0, 2.0, 5.0])["mean"]
+    return rounded(df.select("id", "mean", "max", "min", "median", (weighted * 8).alias("weighted")), 9)
+
+
+_CUM_SQL = f"""WITH {_SCORED_SQL}, c AS (SELECT id, score, row_number() OVER o AS rn, sum(tag) OVER o AS tp, sum(1 - tag) OVER o AS fp, sum(tag * w) OVER o AS wtp, sum((1 - tag) * w) OVER o AS wfp FROM scored WINDOW o AS (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(tag) AS p, sum(1 - tag) AS n, sum(tag * w) AS wp, sum((1 - tag) * w) AS wn FROM scored),
+m AS (SELECT id, score, rn, tp::DOUBLE AS tp, fp::DOUBLE AS fp, (p - tp)::DOUBLE AS fn, (n - fp)::DOUBLE AS tn, wtp, wfp, wp - wtp AS wfn, wn - wfp AS wtn, p::DOUBLE AS p, n::DOUBLE AS n, wp, wn FROM c, t),
+r AS (SELECT rn, score, (tp + fp) / (p + n) AS action_rate, tp / p AS recall, tp / (tp + fp) AS precision, fp / n AS fpr, tp / ((tp + fp) * p / (p + n)) AS lift, (wtp + wfp) / (wp + wn) AS weighted_action_rate, wtp / wp AS weighted_recall, wtp / (wtp + wfp) AS weighted_precision, wfp / wn AS weighted_fpr, wtp / ((wtp + wfp) * wp / (wp + wn)) AS weighted_lift FROM m)"""
+
+
+def _points_sql(curves: dict[str, str], k: int = 10) -> str:
+    first = " UNION ALL ".join(f"SELECT '{c}' AS curve, b AS bucket, min(rn) AS first FROM r, range(1, {k + 1}) x(b) WHERE {m} >= b / {k}.0 - 1e-12 GROUP BY b" for c, m in curves.items())
+    cols = ", ".join(evaluate._MEASURES)
+    zero = ", ".join(f"{1.0 if 'precision' in m else 0.0}::DOUBLE AS {m}" for m in evaluate._MEASURES)
+    return f"""{_CUM_SQL}, f AS ({first}), spots AS (SELECT curve, bucket, bucket + max(first - bucket) OVER (PARTITION BY curve ORDER BY bucket) AS rn FROM f),
+pts AS (SELECT curve, 0 AS bucket, 0::BIGINT AS rn, (SELECT max(score) FROM scored) AS score, {zero} FROM (SELECT UNNEST([{', '.join(f"'{c}'" for c in curves)}]) AS curve) UNION ALL SELECT curve, bucket, r.rn, score, {cols} FROM spots JOIN r USING (rn))"""
+
+
+_POINT_COLS = ", ".join(f"round({m}, 6) AS {m}" for m in evaluate._MEASURES)
+
+
+@query(f"{_CUM_SQL} SELECT id, score, rn, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(wtp, 2) AS weighted_tp, round(wfp, 2) AS weighted_fp, round(wfn, 2) AS weighted_fn, round(wtn, 2) AS weighted_tn FROM m")
+def confusion_cumulative(spark, sf_dir):
+    return rounded(evaluate.confusion(scored(spark, sf_dir), weight="weight"), 6).withColumns({f"weighted_{x}": F.round(F.round(f"weighted_{x}", 4), 2) for x in ("tp", "fp", "fn", "tn")})
+
+
+def _curve(name: str):
+    def f(spark, sf_dir):
+        c = evaluate.confusion(scored(spark, sf_dir), weight="weight")
+        return rounded(evaluate.points(c, [name]))
+
+    f.__name__ = f"{name}_points"
+    return f
+
+
+for _name, _measure in evaluate.CURVES.items():
+    query(f"{_points_sql({_name: _measure})} SELECT curve, bucket::INT AS bucket, rn, score, {_POINT_COLS} FROM pts")(_curve(_name))
+
+
+@query(f"{_points_sql({k: evaluate.CURVES[k] for k in evaluate.AREAS})}, xy AS (SELECT curve, bucket, CASE curve {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {x}' for k, (x, _) in evaluate.AREAS.items())} END AS x, CASE curve {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {y}' for k, (_, y) in evaluate.AREAS.items())} END AS y FROM pts), d AS (SELECT curve, (y + lag(y) OVER w) * (x - lag(x) OVER w) / 2 AS part FROM xy WINDOW w AS (PARTITION BY curve ORDER BY bucket)) SELECT curve, round(sum(part), 6) AS auc FROM d GROUP BY 1")
+def auc(spark, sf_dir):
+    c = evaluate.confusion(scored(spark, sf_dir), weight="weight")
+    return rounded(evaluate.areas(evaluate.points(c, list(evaluate.AREAS))))
+
+
+@query(f"WITH {_SCORED_SQL}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM scored) SELECT least(9, greatest(0, floor((hi - score) / (hi - lo) * 10)))::INT AS bucket, count(*)::BIGINT AS rows, round(sum(w), 2) AS weight FROM scored, e GROUP BY 1")
+def score_bucket_counts(spark, sf_dir):
+    df = scored(spark, sf_dir)
+    low, high = df.agg(F.min("score"), F.max("score")).head()
+    return rounded(evaluate.score_buckets(df, "score", low, high, weight="weight"), 2)
+
+
+_CONVERT = {"RAW": "x", "SIGMOID": "1 / (1 + exp(-x))", "OLD_SIGMOID": "1 / (1 + least(1e19, exp(-20 * x)))", "CUTOFF": "least(1.0, greatest(0.0, x))", "HALF_CUTOFF": "greatest(x, 0.0) / hi", "MAXMIN": "(x - lo) / (hi - lo)"}
+
+
+@query(f"WITH {_SCORED_SQL}, r AS (SELECT id, score - 0.5 AS x FROM scored), e AS (SELECT min(x) AS lo, max(x) AS hi FROM r) SELECT id, {', '.join(f'round(1000 * ({v}), 4) AS {k.lower()}' for k, v in _CONVERT.items())} FROM r, e")
+def gbt_score_convert(spark, sf_dir):
+    df = scored(spark, sf_dir).select("id", (F.col("score") - 0.5).alias("x"))
+    for k in _CONVERT:
+        df = evaluate.convert_scores(df, "x", k, 1000.0, k.lower())
+    return rounded(df.withColumn("raw", F.col("x") * 1000).drop("x"), 4)
+
+
+@query("WITH s AS (SELECT l_linestatus AS actual, [0.3 + l_discount * 3, 0.5 - l_tax, l_quantity / 100] AS s FROM lineitem), p AS (SELECT actual, ['x', 'y', 'z'][list_position(s, list_max(s))] AS predicted FROM s) SELECT actual, predicted, count(*)::BIGINT AS rows FROM p GROUP BY 1, 2")
+def multiclass_confusion(spark, sf_dir):
+    s = F.array(F.expr("0.3 + l_discount * 3"), F.expr("0.5 - l_tax"), F.expr("l_quantity / 100"))
+    return evaluate.multiclass(read(spark, sf_dir, "lineitem"), "l_linestatus", s, ["x", "y", "z"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, [[0.3 + l_discount * 3, 0.5 - l_tax], [l_quantity / 100, 0.2], [0.4, l_tax * 8]] AS m FROM lineitem),
+v AS (SELECT *, [list_position(x, list_max(x)) FOR x IN m] AS p FROM s),
+t AS (SELECT *, len(list_filter(p, lambda x: x = 1)) AS n1, len(list_filter(p, lambda x: x = 2)) AS n2 FROM v) SELECT l_orderkey, l_linenumber, CASE WHEN n1 > n2 THEN 'a' ELSE 'b' END AS label FROM t""")
+def multiclass_vote(spark, sf_dir):
+    m = F.array(F.array(F.expr("0.3 + l_discount * 3"), F.expr("0.5 - l_tax")), F.array(F.expr("l_quantity / 100"), F.lit(0.2)), F.array(F.lit(0.4), F.expr("l_tax * 8")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", evaluate.vote(m, ["a", "b"]).alias("label"))
+
+
+def _challenger_sql() -> str:
+    base = f"WITH base AS (SELECT {_KEY} AS id, (l_returnflag = 'R')::INT AS tag, l_quantity AS w, {', '.join(f'round({s}, 6) AS s{i}' for i, s in enumerate(_SCORES[:2]))} FROM lineitem)"
+    one = [
+        f"SELECT 's{i}' AS score_name, b AS bucket, min(rn) - b AS gap FROM (SELECT row_number() OVER o AS rn, sum(tag) OVER o / (SELECT sum(tag) FROM base)::DOUBLE AS recall FROM base WINDOW o AS (ORDER BY s{i} DESC, id ROWS UNBOUNDED PRECEDING)), range(1, 11) x(b) WHERE recall >= b / 10.0 - 1e-12 GROUP BY b"
+        for i in range(2)
+    ]
+    return f"{base}, f AS ({' UNION ALL '.join(one)}) SELECT score_name, bucket::INT AS bucket, (bucket + max(gap) OVER (PARTITION BY score_name ORDER BY bucket))::BIGINT AS rn FROM f"
+
+
+@query(_challenger_sql())
+def champion_challenger(spark, sf_dir):
+    df = items(spark, sf_dir).withColumn("id", F.expr(_KEY)).withColumns({f"s{i}": F.round(F.expr(s), 6) for i, s in enumerate(_SCORES[:2])})
+    p = evaluate.champion_challenger(df, ["s0", "s1"], weight="weight")
+    return p.filter("curve = 'pr' AND bucket > 0").select("score_name", "bucket", "rn")
+
+
+@query(f"WITH {_SCORED_SQL} SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 100")
+def top_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", "score").orderBy(F.col("score").desc(), "id").limit(100)
+
+
+_THREE = "[{'c': 'l_quantity', 'v': l_quantity}, {'c': 'l_discount', 'v': l_discount}, {'c': 'l_tax', 'v': l_tax}]"
+_AVG_SQL = f"""WITH {_SCORED_SQL}, cells AS (SELECT id, score, u.c AS column_name, u.v AS v FROM (SELECT id, score, UNNEST({_THREE}) AS u FROM scored)), {_INTERVAL},
+b AS (SELECT id, score, column_name, len(list_filter(b, lambda x: x <= v))::INT AS bin FROM cells JOIN bounds USING (column_name)),
+a AS (SELECT column_name, bin, count(*)::BIGINT AS rows, avg(score) AS avg_score FROM b GROUP BY 1, 2),
+k AS (SELECT id, column_name, row_number() OVER (PARTITION BY id ORDER BY round(avg_score, 9) DESC, CASE column_name WHEN 'l_quantity' THEN 0 WHEN 'l_discount' THEN 1 ELSE 2 END) AS r FROM b JOIN a USING (column_name, bin))"""
+
+
+def _averages(spark, sf_dir):
+    df = scored(spark, sf_dir)
+    bins = binning.equal_interval(df, ["l_quantity", "l_discount", "l_tax"])
+    return df, bins, evaluate.bin_scores(df, bins, "score").withColumn("avg_score", F.round("avg_score", 9))
+
+
+@query(f"{_AVG_SQL} SELECT column_name, bin, rows, round(avg_score, 6) AS avg_score FROM a")
+def bin_avg_score(spark, sf_dir):
+    return rounded(_averages(spark, sf_dir)[2])
+
+
+@query(f"{_AVG_SQL} SELECT column_name, sum(3 - (r - 1))::BIGINT AS points FROM k WHERE r <= 3 GROUP BY 1")
+def feature_importance_points(spark, sf_dir):
+    return evaluate.importance(*_averages(spark, sf_dir))
+
+
+@query(f"{_AVG_SQL} SELECT id, string_agg(CASE column_name WHEN 'l_quantity' THEN 'amount' WHEN 'l_discount' THEN 'price' ELSE 'tax' END, '|' ORDER BY r) AS reasons FROM k WHERE r <= 2 GROUP BY 1")
+def reason_codes(spark, sf_dir):
+    out = evaluate.reasons(*_averages(spark, sf_dir), {"l_quantity": "amount", "l_discount": "price", "l_tax": "tax"}, 2, ["id"])
+    return out.select("id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(f"WITH {_SCORED_SQL}, d AS (SELECT c.column_name, s[1] - CASE c.column_name WHEN 'l_quantity' THEN 0.4 + 0.008 * m.q - 2.0 * l_discount ELSE 0.4 + 0.008 * l_quantity - 2.0 * m.d END AS d FROM scored, (SELECT avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem) m, (SELECT UNNEST(['l_quantity', 'l_discount']) AS column_name) c) SELECT column_name, round(avg(abs(d)), 6) AS mean_abs, round(sqrt(avg(d * d)), 6) AS rms, round(avg(d * d) - avg(abs(d)) * avg(abs(d)), 6) AS variance FROM d GROUP BY 1")
+def sensitivity_linear(spark, sf_dir):
+    from tabforge.models.sensitivity import neutralised
+
+    df = items(spark, sf_dir)
+    means = df.agg(F.avg("l_quantity").alias("l_quantity"), F.avg("l_discount").alias("l_discount")).head().asDict()
+    return rounded(evaluate.sensitivity(neutralised(df, means, lambda c: F.lit(0.4) + 0.008 * c["l_quantity"] - 2.0 * c["l_discount"])))
+
+
+# ---- selection -------------------------------------------------------------------------------------------------------
+
+_SEL_SQL = f"{_WITH_COUNTS}, meta AS ({_separation('pos', 'neg')})"
+
+
+def _meta(spark, sf_dir):
+    return rounded(metrics.separation(_interval_table(spark, sf_dir)[2]).select("column_name", "ks", "iv"))
+
+
+@query(f"{_SEL_SQL} SELECT column_name, ks, row_number() OVER o AS rank, (column_name = 'l_tax' OR row_number() OVER o <= 2) AS selected FROM meta WINDOW o AS (ORDER BY (column_name = 'l_tax') DESC, ks DESC, column_name)")
+def select_ks(spark, sf_dir):
+    return select.by_measure(_meta(spark, sf_dir), "ks", 2, force=["l_tax"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"{_SEL_SQL} SELECT column_name, iv, row_number() OVER (ORDER BY iv DESC, column_name) AS rank, row_number() OVER (ORDER BY iv DESC, column_name) <= 3 AS selected FROM meta")
+def select_iv(spark, sf_dir):
+    return select.by_measure(_meta(spark, sf_dir), "iv", filter_out=0.25).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"{_SEL_SQL}, t AS (SELECT column_name, ks, iv, least(2 * row_number() OVER (ORDER BY ks DESC, column_name) - 1, 2 * row_number() OVER (ORDER BY iv DESC, column_name)) AS turn FROM meta) SELECT column_name, ks, iv, row_number() OVER (ORDER BY turn) AS rank, row_number() OVER (ORDER BY turn) <= 2 AS selected FROM t")
+def select_mix(spark, sf_dir):
+    return select.mixed(_meta(spark, sf_dir), 2).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def select_pareto(spark, sf_dir):
+    chosen = select.pareto(_meta(spark, sf_dir).toPandas(), 3)
+    return spark.createDataFrame(list(enumerate(chosen, 1)), "rank int, column_name string")
+
+
+@query()
+def auto_filter(spark, sf_dir):
+    df = items(spark, sf_dir).withColumn("l_copy", F.col("l_extendedprice") * 2 + 1).withColumn("l_gone", F.lit("?"))
+    cols = [*NUMERIC, "l_copy"]
+    bins = binning.equal_interval(df, cols)
+    meta = metrics.separation(binning.bin_counts(df, bins, "tag", "weight")).join(profile.numeric(df, [*cols, "l_gone"]), "column_name", "right").fillna(0.0, ["ks", "iv"]).toPandas()
+    corr = {(r["column_a"], r["column_b"]): r["r"] for r in correlate.matrix(df, {c: F.col(c) for c in cols}).collect()}
+    out = select.auto_filter(meta, corr, most_correlated=0.95)
+    return spark.createDataFrame([(r.column, r.reason, r.detail) for r in out], "column_name string, reason string, detail string")
+
+
+# ---- sketches and merged bins ----------------------------------------------------------------------------------------
+
+
+def _bounds_frame(spark, bins: list[Bins]) -> DataFrame:
+    return spark.createDataFrame([(b.name, i, b.label(i)) for b in bins for i in range(b.size)], "column_name string, bin int, label string")
+
+
+@query()
+def bins_histogram(spark, sf_dir):
+    return _bounds_frame(spark, binning.histogram(items(spark, sf_dir), NUMERIC))
+
+
+@query()
+def bins_sketch(spark, sf_dir):
+    return _bounds_frame(spark, binning.equal_population(items(spark, sf_dir), NUMERIC, 10, "EqualPositive"))
+
+
+@query()
+def bins_entropy(spark, sf_dir):
+    return _bounds_frame(spark, binning.dynamic(items(spark, sf_dir), NUMERIC, 6, 40))
+
+
+@query()
+def bins_merged_categories(spark, sf_dir):
+    df = items_orders(spark, sf_dir)
+    return _bounds_frame(spark, binning.merge_categories(df, binning.categories(df, ["o_orderpriority"]), 3))
+
+
+@query()
+def rebin_iv(spark, sf_dir):
+    df, bins, table = _interval_table(spark, sf_dir)
+    counts = binning._collected(table, bins)
+    return _bounds_frame(spark, [binning.rebin(b, counts[b.name], 8, 50, 0.9) for b in bins])
