@@ -113,14 +113,14 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     those first halves move to the document before.
     """
     f = followers(docs, key, text_col)
-    rows = docs.select(F.col(key), _key(key), common.text_or_empty(text_col).alias("text"))
+    rows = docs.select(_key(key), common.text_or_empty(text_col).alias("text"))  # the same on both sides, so texts are exchanged once
     own = f.select("k", "pred_k", "h")
     room = f.select(F.col("k").alias("pred_k"), F.col("n").alias("pred_n"))
-    lent = rows.select("k", "text").join(own.join(room, "pred_k"), "k").filter(F.xxhash64("text") == F.col("h"))
+    lent = rows.join(own.join(room, "pred_k"), "k").filter(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0)  # no equality of sides, so the exchange stays by k
     lent = lent.select(F.col("pred_k").alias("k"), F.substr("text", F.lit(1), (F.col("pred_n") / 2).cast("int")).alias("lent")).groupBy("k").agg(F.min("lent").alias("lent"))
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    out = rows.join(lent, "k", "left").select("k", key, "text", n.alias("n_chars"), F.concat(F.substr("text", F.lit(1), (n - half).cast("int")), F.substr(F.coalesce("lent", F.lit("")), F.lit(1), half)).alias("edited"))
+    out = rows.join(lent, "k", "left").select("k", F.nullif(F.col("k"), F.lit(-(2**63))).alias(key), "text", n.alias("n_chars"), F.concat(F.substr("text", F.lit(1), (n - half).cast("int")), F.substr(F.coalesce("lent", F.lit("")), F.lit(1), half)).alias("edited"))
     return out, f
 
 
