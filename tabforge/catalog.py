@@ -696,3 +696,180 @@ def rebin_iv(spark, sf_dir):
     df, bins, table = _interval_table(spark, sf_dir)
     counts = binning._collected(table, bins)
     return _bounds_frame(spark, [binning.rebin(b, counts[b.name], 8, 50, 0.9) for b in bins])
+
+
+# ---- training, models and steps --------------------------------------------------------------------------------------
+
+
+def _features(spark, sf_dir):
+    """Normalised columns of line items with the tag and a key."""
+    df, stats = _norm_stats(spark, sf_dir)
+    return transform.normalize(df.withColumn("id", F.expr(_KEY)), stats, "ZSCALE", keep=["id", "tag"])
+
+
+def _net(spark, sf_dir, hidden, epochs, update="ADAM", rate=0.2):
+    from tabforge.models import net
+
+    df = _features(spark, sf_dir)
+    rows = net.prepared(df, _NORM_COLS, "tag", validation=sample.unit(F.col("id"), 5) < 0.2)
+    model, history = net.fit(rows, net.Net.create(3, hidden), net.Updater(update, rate), epochs, "log")
+    rows.unpersist()
+    return df, model, history
+
+
+@query()
+def train_lr(spark, sf_dir):
+    _, model, history = _net(spark, sf_dir, [], 12)
+    return spark.createDataFrame([("weight", i, float(w)) for i, w in enumerate(model.weights[0][:, 0])] + [("error", i, t) for i, (t, _) in enumerate(history)], "item string, i int, value double")
+
+
+@query()
+def train_nn(spark, sf_dir):
+    from tabforge.models import net
+
+    df, model, _ = _net(spark, sf_dir, [6], 8)
+    return net.scored(df, _NORM_COLS, [model], scale=1000.0).select("id", "tag", F.round(F.get("scores", F.lit(0)), 4).alias("score"))
+
+
+def _tree(spark, sf_dir, kind, **more):
+    from tabforge.models import trees
+
+    df = items_orders(spark, sf_dir).withColumn("id", F.expr(_KEY)).select("id", "tag", *NUMERIC, "o_orderpriority").withColumn("tag", F.col("tag").cast("double"))
+    return df, trees.fit(df, NUMERIC, ["o_orderpriority"], "tag", kind, trees=4, depth=3, **more)
+
+
+@query()
+def train_rf(spark, sf_dir):
+    from tabforge.models import trees
+
+    df, model = _tree(spark, sf_dir, "RF")
+    return rounded(trees.scored(model, df).select("id", "tag", "score"))
+
+
+@query()
+def train_gbt(spark, sf_dir):
+    from tabforge.models import trees
+
+    _, model = _tree(spark, sf_dir, "GBT")
+    return spark.createDataFrame(list(trees.importance(model, [*NUMERIC, "o_orderpriority"]).items()), "column_name string, importance double")
+
+
+@query()
+def tree_encode(spark, sf_dir):
+    from tabforge.models import trees
+
+    df = items(spark, sf_dir).withColumn("id", F.expr(_KEY)).withColumn("tag", F.col("tag").cast("double"))
+    model = trees.fit(df, NUMERIC, [], "tag", "RF", trees=3, depth=4)
+    return trees.encoded(df, trees.roots(model), NUMERIC, 4, ["id"])
+
+
+@query()
+def train_wide_deep(spark, sf_dir):
+    from tabforge.models import wide_deep
+
+    df, stats = _norm_stats(spark, sf_dir)
+    n = transform.normalize(df, stats, "ZSCALE_INDEX", keep=["tag"])
+    _, losses = wide_deep.fit(n, ["l_quantity", "l_discount"], {"o_orderpriority": 6}, "tag", epochs=6)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(losses)], "epoch int, loss double")
+
+
+@query()
+def sensitivity_model(spark, sf_dir):
+    from tabforge.models import sensitivity
+
+    df, model, _ = _net(spark, sf_dir, [4], 5)
+    return sensitivity.of_model(df, _NORM_COLS, model.predict, [0.0] * 3)
+
+
+@query()
+def grid_search(spark, sf_dir):
+    from tabforge.models import search
+
+    df = _features(spark, sf_dir)
+    _, tried = search.best_of_grid(df, _NORM_COLS, "tag", F.col("id"), {"epochs": 3, "rate": [0.05, 0.3], "hidden": [[]]}, folds=2)
+    return spark.createDataFrame([(str(p["rate"]), e) for p, e in tried], "rate string, error double")
+
+
+@query()
+def genetic_selection(spark, sf_dir):
+    from tabforge.models import search
+
+    df = items(spark, sf_dir)
+    fitness = search.subset_fitness(df, [*NUMERIC, "l_linenumber"], "tag", epochs=5)
+    return spark.createDataFrame([(c,) for c in select.genetic([*NUMERIC, "l_linenumber"], fitness, 2, 6, 3)], "column_name string")
+
+
+@query()
+def stacked_models(spark, sf_dir):
+    from tabforge.models import search
+
+    _, top = search.stacked(_features(spark, sf_dir), [(["l_quantity"], {"epochs": 3}), (["l_discount", "o_orderpriority"], {"epochs": 3})], "tag", F.col("id"), {"epochs": 3})
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(top.weights[0][:, 0])], "i int, weight double")
+
+
+@query()
+def one_vs_all(spark, sf_dir):
+    from tabforge.models import net, search
+
+    df, stats = _norm_stats(spark, sf_dir)
+    n = transform.normalize(df, stats, "ZSCALE", keep=["l_returnflag"])
+    models = search.one_vs_all(n, _NORM_COLS, "l_returnflag", ["A", "N", "R"], {"epochs": 4})
+    return evaluate.multiclass(net.scored(n, _NORM_COLS, models), "l_returnflag", F.col("scores"), ["A", "N", "R"])
+
+
+@query()
+def project_steps(spark, sf_dir):
+    from tabforge.config import DataSet, Normalize, Project, Train, VarSelect
+    from tabforge.plans import steps
+
+    df = items_orders(spark, sf_dir).withColumn("id", F.expr(_KEY).cast("string")).select("id", "l_returnflag", *NUMERIC, "o_orderpriority", "o_orderstatus")
+    p = Project("demo", DataSet(target="l_returnflag", pos_tags=["R"], neg_tags=["A", "N"], meta=["id"], weight="l_quantity", filter_expression="l_tax < 0.08"), normalize=Normalize("WOE"), varselect=VarSelect(count=3), train=Train("LR", epochs=5))
+    run = steps.varsel(steps.stats(steps.init(steps.start(p), df), df))
+    run = steps.train(run, steps.norm(run, df))
+    _, area = steps.performance(run, steps.score(run, df, ["id"]), "id")
+    return area
+
+
+# ---- files, vectors, streams -----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def delimited_round_trip(spark, sf_dir):
+    import tempfile
+
+    from tabforge.sources import tables
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tabforge-')}"
+    path = f"{base.rstrip('/')}/orders-text"
+    src = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority", "o_orderstatus")
+    tables.write_delimited(src, path, "|", compress=True)
+    df = tables.read_delimited(spark, path, "|", header_path=path + ".header", target="o_orderstatus")
+    return expression.keep_rows(df, "o_orderstatus == 'F'", strict=True)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax::DOUBLE, 7) AS seven FROM lineitem")
+def output_precision(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalar.precision("l_tax", "FLOAT7").alias("seven"))
+
+
+@query()
+def embedding_correlation(spark, sf_dir):
+    df = read(spark, sf_dir, "embeddings")
+    size = len(df.select("embedding").head()[0])
+    m = correlate.vectors(df, "embedding", size)
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(size) for j in range(i)], "i int, j int, r double")
+
+
+_DAILY = "SELECT date_trunc('day', ts) AS d, least(9, len(list_filter(b, lambda x: x <= value)))::INT AS bin, count(*) AS rows FROM events, bounds GROUP BY 1, 2"
+
+
+@query(f"""WITH r AS (SELECT min(value) AS lo0, max(value) AS hi0 FROM events), e AS (SELECT lo0 - 0.0005::DOUBLE * (hi0 - lo0) AS lo, hi0 + 0.0005::DOUBLE * (hi0 - lo0) AS hi FROM r), bounds AS (SELECT list_transform(range(1, 10), lambda j: lo + (hi - lo) * j / 10) AS b FROM e),
+n AS ({_DAILY}), a AS (SELECT d, bin, rows::DOUBLE / sum(rows) OVER (PARTITION BY d) AS a FROM n), x AS (SELECT bin, sum(rows)::DOUBLE / sum(sum(rows)) OVER () AS e FROM n GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start, 'value' AS column_name, round(sum((a - e) * ln(a / e)), 6) AS psi FROM a JOIN x USING (bin) GROUP BY 1""")
+def window_psi(spark, sf_dir):
+    from tabforge.streaming import windows
+
+    events = read(spark, sf_dir, "events")
+    counts = windows.binned_counts(events, binning.equal_interval(events, ["value"]))
+    reference = counts.groupBy("column_name", "bin").agg(F.sum("rows").alias("rows"))
+    return rounded(windows.window_psi(counts, reference))
