@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -46,6 +47,19 @@ def drop_work(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """While it is open, queries that run hand Python at most so many rows at once: bounds a worker's memory where rows are
+    large.  The session's own setting holds again after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, though body uses it many times, inside lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import sub_batches, written
+from tabforge.llm.common import small_batches, sub_batches, written
 
 TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 256
 #: Shared signature values from which a pair is confirmed: about four standard errors below the bound.
-SLACK = 0.2
+SLACK = 0.18
 #: Ids of this many nodes at most are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -187,21 +187,27 @@ def _by_block(batches, names: list[str], each):
 
 
 def across(blocks: DataFrame, t: float) -> DataFrame:
-    """(probe, comp): a probe row and a component, not its own, of which a base row of its block looks alike by signature."""
+    """(probe, comp): a probe row and a component, not its own, of which a base row of its block looks alike by signature.
+
+    Two nodes that share several regions are compared in that of their first tree only, and two that are both outside
+    the largest component only from the one of the smaller component.
+    """
 
     def suspects(block):
-        ids, comp, n, sig, probe = block
+        ids, comp, n, sig, probe, tree, top = block
         out = []
         for p in np.flatnonzero(probe):
-            i = np.flatnonzero(~probe & (comp != comp[p]))
+            i = np.flatnonzero(~probe & ((comp > comp[p]) | (comp == top) & (comp != comp[p])))
             if len(i):
-                found = np.unique(comp[i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]])
+                i = i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]
+                shared = (sig[i] == sig[p]).reshape(len(i), TREES, DEPTH).all(2)
+                found = np.unique(comp[i[shared.argmax(1) == tree[p]]])
                 out.append((np.full(len(found), ids[p]), found))
         if out:
             probes, comps = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(probes, pa.int64()), pa.array(comps, pa.int64())], names=["probe", "comp"])
 
-    names = ["block", "id", "comp", "n", "sig", "probe"]
+    names = ["block", "id", "comp", "n", "sig", "probe", "tree", "top"]
     dealt = blocks.repartition("block").sortWithinPartitions("block")
     return dealt.select(*names).mapInArrow(lambda batches: _by_block(batches, names, suspects), "probe long, comp long").distinct()
 
@@ -302,7 +308,7 @@ def _regions(reps: DataFrame) -> DataFrame:
     rows = reps.select("id", F.explode(slices).alias("x")).select("id", "x.tree", "x.bucket")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     both = rows.join(shared.select("bucket"), "bucket").join(reps.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
-    return both.withColumn("rest", F.substring(F.concat("sig", "sig"), F.col("tree") * 2 * DEPTH + 1 + 2 * DEPTH, F.lit(6 * DEPTH))).drop("tree")
+    return both.withColumn("rest", F.substring(F.concat("sig", "sig"), F.col("tree") * 2 * DEPTH + 1 + 2 * DEPTH, F.lit(6 * DEPTH)))
 
 
 def _blocks(regions: DataFrame, comps: DataFrame) -> DataFrame:
@@ -310,19 +316,28 @@ def _blocks(regions: DataFrame, comps: DataFrame) -> DataFrame:
 
     Probes are the nodes outside a region's largest component; each meets every node of the region once.
     """
-    rows = regions.select("bucket", "id", "n", "sig").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = regions.select("bucket", "tree", "id", "n", "sig").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("bucket").agg(F.sum("k").alias("c"), F.max(F.struct("k", "comp")).alias("top")).filter("top.k < c")
     open_ = open_.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil((F.col("c") - F.col("top.k")) / BLOCK).cast("int").alias("probes"))
     r = rows.join(open_, "bucket")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    as_base = r.select("bucket", "id", "comp", "n", "sig", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
-    as_probe = r.filter("comp != top").select("bucket", "id", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
+    as_base = r.select("bucket", "tree", "top", "id", "comp", "n", "sig", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
+    as_probe = r.filter("comp != top").select("bucket", "tree", "top", "id", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
     return as_base.union(as_probe).withColumn("block", F.xxhash64("bucket", "i", "j")).drop("bucket", "i", "j")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
+    with small_batches(docs.sparkSession):
+        sk, of = _grouped(docs, key, text_col, words, similarity)
+    out = sk.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, key: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows, and the component of every set."""
     sk = written(sketches(docs, key, text_col, words), "sketches")
     linked = sk.filter("doc_id IS NOT NULL AND set_id IS NOT NULL")
     reps = linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r")).select("set_id", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.sig")
@@ -339,7 +354,4 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", wo
         nodes = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         more = searched(rest, nodes, docs, key, text_col, words, similarity)
         comps = components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
-    of = reps.join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("component_id"))
-    out = sk.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return sk, written(reps.join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("component_id")), "components")
