@@ -468,6 +468,14 @@ def norm_zscale_onehot(spark, sf_dir):
     return rounded(transform.normalize(df, {k: stats[k] for k in ("l_quantity", "o_orderpriority")}, "ZSCALE_ONEHOT", keep=["l_orderkey", "l_linenumber"]), 5)
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN (SELECT avg(CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END) FROM lineitem) ELSE l_discount END AS v, CASE WHEN l_linestatus = 'O' THEN 'O' ELSE '' END AS l_linestatus FROM lineitem".replace("CASE WHEN l_linenumber % 3 = 0 THEN (SELECT", "round(CASE WHEN l_linenumber % 3 = 0 THEN (SELECT").replace("ELSE l_discount END AS v", "ELSE l_discount END, 6) AS v"))
+def norm_clean(spark, sf_dir):
+    df = items(spark, sf_dir).withColumn("v", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount")))
+    bins = [*binning.equal_interval(df, ["v"]), Bins("l_linestatus", groups=[["O"]])]
+    stats = transform.column_stats(bins, binning.bin_counts(df, bins), profile.numeric(df, ["v"]))
+    return rounded(transform.clean(df, stats, ["l_orderkey", "l_linenumber"]))
+
+
 # ---- scoring and evaluation ------------------------------------------------------------------------------------------
 
 #: Three linear scores of a line item, the same expressions on both sides.
@@ -830,6 +838,16 @@ def project_steps(spark, sf_dir):
     return area
 
 
+@query()
+def normal_shuffle(spark, sf_dir):
+    return transform.shuffled(items(spark, sf_dir).select("l_orderkey", "l_linenumber", "tag"), 4)
+
+
+@query("SELECT bag::INT AS bag, count(*)::BIGINT AS rows FROM orders, range(0, 3) b(bag) WHERE ((o_orderkey * 7) % 100 < 100) AND bag >= 0 GROUP BY 1")
+def bag_rows(spark, sf_dir):
+    return sample.exploded_bags(read(spark, sf_dir, "orders"), 3, 1.0, F.col("o_orderkey")).groupBy("bag").agg(F.count("*").alias("rows"))
+
+
 # ---- files, vectors, streams -----------------------------------------------------------------------------------------
 
 

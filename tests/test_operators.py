@@ -238,3 +238,25 @@ def test_tags_and_segments(spark):
     assert [(r.tag, r.weight) for r in out.collect()] == [(1, 2.0), (0, 1.0)]
     assert prep.segmented(df, ["t == 2", "w == 'x'"]).groupBy("segment").count().count() == 3
     assert prep.dry_run(df, "t > 0", 10) == {"read": 4, "kept": 2}
+
+
+def test_projects(tmp_path):
+    from tabforge.config import Eval
+    from tabforge.plans import project
+
+    d = str(tmp_path / "p")
+    project.create(d, "one")
+    with pytest.raises(FileExistsError):
+        project.create(d, "two")
+    project.add_eval(d, Eval("E1"))
+    project.save_version(d, "v1")
+    project.add_eval(d, Eval("E2"))
+    assert project.evals(d) == ["E1", "E2"] and project.versions(d) == ["v1"]
+    project.delete_eval(d, "E1")
+    project.switch_version(d, "v1")
+    assert project.evals(d) == ["E1"] and project.opened(d).name == "one"
+
+
+def test_models_are_saved(tmp_path):
+    search.save_models(str(tmp_path), [net.Net.create(2), net.Net.create(3)], "NN")
+    assert [m.sizes for m in search.load_models(str(tmp_path), "NN")] == [[2, 1], [3, 1]]
