@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabforge.llm import bpe
-from tabforge.llm.common import written
+from tabforge.llm.common import sub_batches, written
 
 BLOCK_BYTES = 1 << 20
 
@@ -32,12 +32,15 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_of_document: int
     kind = f"<u{width}"
 
     def run(batches):
+        tokens = bpe.tokenizer(vocabulary)
         for b in batches:
-            raw = [np.asarray(x, kind).tobytes() for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for i, j in sub_batches(texts, bpe.BATCH_CHARS // 2):
+                raw = [np.asarray(x, kind).tobytes() for x in tokens.encode_batch(texts[i:j])]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
     close = end_of_document.to_bytes(width, "little").decode("latin-1")
-    ids = bpe.encode(docs, vocabulary, text_col, keep=[]).mapInArrow(run, "raw binary")
+    ids = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "raw binary")
     # The text writer puts out a string's bytes as they are, and the separator after each row.
     ids.select(F.col("raw").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", close).option("compression", "none").text(path)
 
