@@ -14,7 +14,22 @@ from tabforge.llm.common import table, work_path
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 50256
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: DuckDB SQL of the queries that it can express.
+ORACLES: dict[str, str] = {
+    "op3_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), x AS (SELECT doc_id, n, UNNEST(s) AS g FROM s JOIN n USING (doc_id)),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT links.b, r.c FROM r JOIN links ON r.id = links.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON doc_id = id""",
+    "op4_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN holder <> page_id THEN holder END AS refers_to FROM p LEFT JOIN h USING (payload_digest)""",
+}
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
