@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,27 @@ def small_batches(spark: SparkSession, rows: int = 512):
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lets the session hand Python at most so many rows at once from now on, for frames that are run after the caller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidy(run):
+    """A function over batches that gives a finished task's memory back, since its worker process idles on beside others."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, though body uses it many times, inside lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import small_batches, sub_batches, written
+from tabforge.llm.common import small_batches, sub_batches, tidy, written
 
 TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 256
 #: Shared signature values from which a pair is confirmed: about four standard errors below the bound.
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_id binary, sig binary")
 
 
 def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
@@ -168,7 +168,7 @@ def neighbours(rows: DataFrame, t: float) -> DataFrame:
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "bucket", "rest", "id").sortWithinPartitions("bucket", "rest", "id")
-    return ordered.select("bucket", "id", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("bucket", "id", "n", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _by_block(batches, names: list[str], each):
@@ -209,7 +209,7 @@ def across(blocks: DataFrame, t: float) -> DataFrame:
 
     names = ["block", "id", "comp", "n", "sig", "probe", "tree", "top"]
     dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.select(*names).mapInArrow(lambda batches: _by_block(batches, names, suspects), "probe long, comp long").distinct()
+    return dealt.select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, suspects)), "probe long, comp long").distinct()
 
 
 def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
@@ -219,7 +219,7 @@ def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
     BLOCK nodes and BLOCK probes; inside a block signatures tell which sets to compare, and the first link ends the search.
     """
     sizes = suspects.groupBy("comp").agg(F.count("*").alias("p")).join(nodes.groupBy("comp").agg(F.count("*").alias("c")), "comp")
-    sizes = sizes.select("comp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes"))
+    sizes = written(sizes.select("comp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes")), "sizes")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     as_base = nodes.select("id", "comp").join(sizes, "comp").select("id", "comp", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
     as_probe = suspects.select(F.col("probe").alias("id"), "comp").join(sizes, "comp").select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
@@ -246,7 +246,7 @@ def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     names = ["block", "id", "comp", "n", "sig", "members", "probe"]
-    return full.repartition("block").sortWithinPartitions("block").select(*names).mapInArrow(lambda batches: _by_block(batches, names, links), "a long, b long").distinct()
+    return full.repartition("block").sortWithinPartitions("block").select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, links)), "a long, b long").distinct()
 
 
 def _sets(ids: DataFrame, docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text_col: str, words: int)
                 sets = shingle_sets(texts[i:j], words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "members"])
 
-    return texts.mapInArrow(run, "doc_id long, members binary").filter(F.octet_length("members") > 0)
+    return texts.mapInArrow(tidy(run), "doc_id long, members binary").filter(F.octet_length("members") > 0)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
@@ -282,7 +282,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,7 +291,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # Written, so that the join below exchanges both its sides and a node with very many edges can be split.
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
@@ -306,8 +307,8 @@ def _regions(reps: DataFrame) -> DataFrame:
     """bucket, id, n, sig and rest (the order within the region) of every node and tree whose region holds another node."""
     slices = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.struct(k.alias("tree"), F.xxhash64(k, F.substring(F.col("sig"), k * 2 * DEPTH + 1, F.lit(2 * DEPTH))).alias("bucket")))
     rows = reps.select("id", F.explode(slices).alias("x")).select("id", "x.tree", "x.bucket")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    both = rows.join(shared.select("bucket"), "bucket").join(reps.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "shared")  # so a large region can be split
+    both = rows.join(shared, "bucket").join(reps.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
     return both.withColumn("rest", F.substring(F.concat("sig", "sig"), F.col("tree") * 2 * DEPTH + 1 + 2 * DEPTH, F.lit(6 * DEPTH)))
 
 
@@ -319,7 +320,7 @@ def _blocks(regions: DataFrame, comps: DataFrame) -> DataFrame:
     rows = regions.select("bucket", "tree", "id", "n", "sig").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("bucket").agg(F.sum("k").alias("c"), F.max(F.struct("k", "comp")).alias("top")).filter("top.k < c")
-    open_ = open_.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil((F.col("c") - F.col("top.k")) / BLOCK).cast("int").alias("probes"))
+    open_ = written(open_.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil((F.col("c") - F.col("top.k")) / BLOCK).cast("int").alias("probes")), "open")
     r = rows.join(open_, "bucket")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     as_base = r.select("bucket", "tree", "top", "id", "comp", "n", "sig", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
