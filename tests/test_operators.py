@@ -260,3 +260,13 @@ def test_projects(tmp_path):
 def test_models_are_saved(tmp_path):
     search.save_models(str(tmp_path), [net.Net.create(2), net.Net.create(3)], "NN")
     assert [m.sizes for m in search.load_models(str(tmp_path), "NN")] == [[2, 1], [3, 1]]
+
+
+def test_generic_models(spark):
+    from tabforge.models import generic
+
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    got = generic.scored(df, ["a", "b"], lambda x: np.nansum(x, 1), scale=10.0).collect()
+    assert [r.score for r in got] == [30.0, 30.0]
+    cols, model = generic.load('{"columns": ["a"], "module": "numpy", "factory": "poly1d", "arguments": {"c_or_r": [2, 1]}}')
+    assert cols == ["a"] and list(model(np.array([1.0, 2.0]))) == [3.0, 5.0]
