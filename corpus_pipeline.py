@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm import bpe, mixing, near_dedup, quality, secrets
-from tabforge.llm.common import table, written
+from tabforge.llm.common import bound_batches, table, written
 from tabforge.llm.queries import TARGETS, TOKENIZER, trusted
 
 #: Near-duplicates: words of a shingle and similarity.
@@ -37,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; no document goes."""
+    bound_batches(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
@@ -49,6 +50,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    bound_batches(spark)
     return bpe.encoded_and_checked(docs, TOKENIZER, keep=["doc_id", "lang", "source"])
 
 

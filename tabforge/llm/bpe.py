@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import sub_batches
+from tabforge.llm.common import sub_batches, tidy
 
 #: Splits text before merging, as byte-level tokenizers of this vocabulary do (fixed value; white space as Unicode has it).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose ids a worker remembers before it starts anew: bounds its memory, not its results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters that are encoded at once: more of them share the work of a rank.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -162,6 +162,24 @@ def tokenizer(path: str) -> PairIndexBPE:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the words that this process remembers."""
+    for t in _loaded.values():
+        t.known.clear()
+
+
+def forgetful(run):
+    """A function over batches after whose last one the remembered words go, as the worker may idle on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return tidy(wrapped)
+
+
 def _kept(docs: DataFrame, keep: list[str] | None, made: set[str], text_col: str) -> list[str]:
     return [c for c in (docs.columns if keep is None else keep) if c not in made and c != text_col]
 
@@ -179,7 +197,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(len(kept))] + [pa.array(ids, pa.list_(pa.int32()))], names=[*kept, "ids"])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return docs.select(*kept, F.col(text_col).cast("string").alias("\0text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("\0text")).mapInArrow(forgetful(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -193,7 +211,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", keep: list[str] |
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(text, pa.string())], names=[*kept, "text"])
 
     schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField("text", T.StringType())])
-    return tokens.select(*kept, F.col(ids_col).alias("\0ids")).mapInArrow(run, schema)
+    return tokens.select(*kept, F.col(ids_col).alias("\0ids")).mapInArrow(forgetful(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +234,7 @@ def round_trip(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], names=[key_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([docs.schema[key_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key_col, F.col(text_col).cast("string").alias("\0text")).mapInArrow(run, schema)
+    return docs.select(key_col, F.col(text_col).cast("string").alias("\0text")).mapInArrow(forgetful(run), schema)
 
 
 def encoded_and_checked(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -234,4 +252,4 @@ def encoded_and_checked(docs: DataFrame, path: str, text_col: str = "text", keep
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(len(kept))] + [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*kept, "n_tokens", "ids", "round_trips"])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trips", T.BooleanType())])
-    return docs.select(*kept, F.col(text_col).cast("string").alias("\0text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("\0text")).mapInArrow(forgetful(run), schema)

@@ -31,8 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tabforge-work/{uuid.uuid4().hex}-{name}"
+    """A new place in the shared folder for a work table or archive."""
+    path = f"{shared_dir(spark)}/tabforge-work/{uuid.uuid4().hex}-{name}"
+    _written.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,11 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Deletes a work table through Hadoop's file system, wherever the shared folder is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clear_work(spark: SparkSession) -> int:
+    """Deletes the work tables that this process has written, through Hadoop's file system, wherever the shared folder is;
+    to be called once the frames that read them are done with.  Returns how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 @contextlib.contextmanager

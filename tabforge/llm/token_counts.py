@@ -19,9 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabforge.llm import bpe
-from tabforge.llm.common import sub_batches, written
+from tabforge.llm.common import small_batches, sub_batches, written
 
-BLOCK_BYTES = 1 << 20
+#: Bytes of a block, and blocks that a worker gets at once.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 1 << 19, 4
 
 
 def write_flat(docs: DataFrame, path: str, vocabulary: str, end_of_document: int, width: int = 2, text_col: str = "text") -> None:
@@ -35,12 +36,12 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_of_document: int
         tokens = bpe.tokenizer(vocabulary)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            for i, j in sub_batches(texts, bpe.BATCH_CHARS // 2):
+            for i, j in sub_batches(texts, bpe.BATCH_CHARS):
                 raw = [np.asarray(x, kind).tobytes() for x in tokens.encode_batch(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
     close = end_of_document.to_bytes(width, "little").decode("latin-1")
-    ids = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "raw binary")
+    ids = docs.select(F.col(text_col).cast("string")).mapInArrow(bpe.forgetful(run), "raw binary")
     # The text writer puts out a string's bytes as they are, and the separator after each row.
     ids.select(F.col("raw").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", close).option("compression", "none").text(path)
 
@@ -88,5 +89,6 @@ def counted(marks: DataFrame) -> DataFrame:
 
 def count_tokens(spark: SparkSession, path: str, end_of_document: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document of the flat files under path: file, ordinal, start, n_tokens, closed."""
-    marks = written(separators(blocks(spark, path, block_bytes), end_of_document, width, block_bytes), "separators")
+    with small_batches(spark, BLOCKS_AT_ONCE):
+        marks = written(separators(blocks(spark, path, block_bytes), end_of_document, width, block_bytes), "separators")
     return counted(marks)
