@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str =
     known = labels.filter(F.col(key).isNotNull() & F.col(label_col).isNotNull()).groupBy(key).agg(F.max(label_col).cast("int").alias("\0y"))
     drawn = known.withColumn("\0h", F.xxhash64(F.col(key))).orderBy("\0h", key).limit(sample)
     texts = docs.select(key, F.col(text_col).cast("string").alias("\0t"))
-    rows = texts.join(F.broadcast(drawn.select(key, "\0y")), key).select(key, "\0y", "\0t")  # of at most `sample` rows
+    rows = texts.join(F.broadcast(drawn.select(key, "\0y")), key).groupBy(key, "\0y").agg(F.min("\0t").alias("\0t"))  # `sample` rows at most, however often a key repeats
     got = sorted((r[0], r[1], r[2] or "") for r in rows.toLocalIterator())
     return learn([t for _, _, t in got], [int(y == 1) for _, y, _ in got], exceptions)
 
