@@ -113,7 +113,9 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], b
     now = start
     while len(steps) < STEPS and max(abs(t - g) for t, g in zip(now, goal, strict=True)) > TOLERANCE * want:
         steps.append([(t - g) / max(s, floor) for t, g, s in zip(now, goal, start, strict=True)])
-        now = totals(steps)
+        before, now = now, totals(steps)
+        if max(abs(t - b) for t, b in zip(now, before, strict=True)) <= TOLERANCE * want:
+            break  # rates at their bound keep the targets out of reach: this is as near as it gets
     return steps
 
 
