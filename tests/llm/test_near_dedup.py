@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tabforge.llm import near_dedup
@@ -65,3 +66,10 @@ def test_nulls_and_empty(spark):
     out = near_dedup.near_groups(spark.createDataFrame([(None, "t t"), (2, "y" * 100_000)], "doc_id long, text string")).collect()
     assert all(r.kept for r in out)
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_signatures_that_agree_in_48_of_80_places_are_compared():
+    n = np.array([100, 100])
+    a, b = np.zeros((2, 80), np.uint16), np.zeros((2, 80), np.uint16)
+    b[0, 48:], b[1, 47:] = 1, 1
+    assert near_dedup._alike(n, n, a, b, 0.8).tolist() == [True, False]
