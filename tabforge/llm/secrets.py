@@ -28,7 +28,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{24,}|[A-Za-z0-9_-]{24,})={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+#: Parts of such a run in one alphabet, tried where the whole run is no secret: a word may be joined to a value.
+_ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{24,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{24,}={0,2}"))
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 #: Object identifiers of key algorithms in DER: RSA, EC public key, Ed25519 (fixed values).
 _KEY_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570"))
@@ -127,7 +129,7 @@ def inside(data: bytes, depth: int = 0) -> str | None:
     if is_ssh_key(data):
         return "ssh"
     try:
-        text = data.decode("ascii")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     if not text.isprintable() and any(c < " " and c not in "\t\r\n" for c in text):
@@ -150,10 +152,19 @@ def confirmed(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
     within = lambda m: any(s <= m.start() and m.end() <= e for s, e, _ in out)
-    for pattern, decode in ((_BASE64, b64), (_ANY_HEX, lambda v: bytes.fromhex(v) if len(v) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            if not within(m) and (data := decode(m[0])) and (kind := inside(data, depth)):
-                out.append((m.start(), m.end(), kind))
+
+    def opened(m, decode) -> bool:
+        if not within(m) and (data := decode(m[0])) and (kind := inside(data, depth)):
+            out.append((m.start(), m.end(), kind))
+            return True
+        return False
+
+    for m in _BASE64.finditer(text):
+        if not opened(m, b64):
+            for part in (x for p in _ONE_ALPHABET for x in p.finditer(text, *m.span()) if x.span() != m.span()):
+                opened(part, b64)
+    for m in _ANY_HEX.finditer(text):
+        opened(m, lambda v: bytes.fromhex(v) if len(v) % 2 == 0 else None)
     return out
 
 

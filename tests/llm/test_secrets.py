@@ -43,6 +43,23 @@ def test_structures():
     assert kinds(base64.b64encode(ssh).decode()) == ["ssh"]
 
 
+def test_base64url_keys_are_taken_whole():
+    random.seed(5)
+    late = 0
+    for _ in range(200):
+        value = base64.urlsafe_b64encode(der(0x30, b"".join([der(2, b"\0")] + [der(2, random.randbytes(129)) for _ in range(8)]))).decode()
+        late += not set(value[:24]) & {"-", "_"} and bool(set(value) & {"-", "_"})
+        assert secrets.confirmed(f"k {value} b") == [(2, 2 + len(value), "der")]
+    assert late > 50
+    plain = base64.b64encode(PKCS8).decode()
+    assert secrets.confirmed(f"{plain}-end") == secrets.confirmed(f"{plain}_end") == [(0, len(plain), "der")]
+
+
+def test_wrapped_text_that_is_not_ascii():
+    text = "für Grüße: password = hunter2hunter2hunter2".encode()
+    assert kinds(base64.b64encode(text).decode()) == kinds(text.hex()) == ["wrapped"]
+
+
 def test_what_is_not_confirmed():
     assert kinds(base64.b64encode(bytes(range(60))).decode()) == []
     assert kinds(base64.b64encode(RSA[:-1]).decode()) == []
