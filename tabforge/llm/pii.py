@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) are found by expression.  They seed a graph of lexical patterns and instances: a
 pattern is what stands around an identifier (the two words before it, or one on each side), an instance is an
-identifier's text, and candidates are other words with a digit or an at sign.  In rounds, a pattern's confidence in a
+identifier's text, and candidates are other words with a digit or an at sign, and runs of numbers joined by spaces,
+dashes, dots or brackets, as the base kinds allow them.  In rounds, a pattern's confidence in a
 kind is the lower Wilson bound of the share of its instances that belong to the kind, weighted by their scores, and an
 instance's score is the confidence of its best pattern; base finds stay at 1.  Candidates that stand in a pattern of
 high confidence are reported as ctx_<kind>.  Base spans always stay.
@@ -22,7 +23,6 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"ctx_{k}" for k in BASE))
 #: Rounds of scoring, the confidence from which a pattern finds identifiers, and the Wilson bound's deviate.
 ROUNDS, CONFIDENT, DEVIATE = 3, 0.6, 1.96
-LONGEST = 64
 
 #: Java forms of the base expressions.  Runs are taken whole (possessively) and entered only at their start or where the
 #: last match ended, which finds the same leftmost matches in linear time and without recursion.
@@ -34,6 +34,11 @@ PATTERNS = {
 }
 #: Words with a digit or an at sign.
 _CANDIDATE = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+#: A word of digits, dots, dashes and brackets; two or more of them with spaces (and lone separators) between.
+_NUMBER = r"[(]*+[0-9]++(?:[().-]++[0-9]++)*+[).-]*+(?=[,;:!?\"'>\]}]*+(?:[ \t-\r]|$))"
+_JOINED = r"(?<![^ \t-\r])[\"'(<\[{+]*+" + _NUMBER + r"(?:\x20++(?:[().-]++\x20++)?+" + _NUMBER + r")++[^ \t-\r]*+"
+#: What opens a candidate without being part of it; the bracket of an area code is part of it.
+_OPENING = r"^(?:[\"'(<\[{]*?(?=\([0-9]+\)[\x20().-]*[0-9])|[\"'(<\[{]*)"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -106,12 +111,15 @@ def scanned(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("base", base_spans(F.col("t")))
 
     def trimmed(m: Column) -> Column:
-        lead = F.length(m["value"]) - F.length(F.ltrim(m["value"], F.lit("\"'(<[{")))
-        core = F.rtrim(F.ltrim(m["value"], F.lit("\"'(<[{")), F.lit(".,;:!?\"')>]}"))
+        lead = F.length(F.regexp_extract(m["value"], _OPENING, 0))
+        core = F.rtrim(F.substr(m["value"], lead + 1), F.lit(".,;:!?\"')>]}"))
         return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"), F.lit(None).cast("string").alias("kind"), core.alias("value"))
 
-    # Base spans are sorted, candidates too; a candidate is dropped if it overlaps a base span.
-    free = F.filter(F.transform(matches(F.col("t"), _CANDIDATE), trimmed), lambda c: F.length(c["value"]).between(3, LONGEST) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # A candidate is dropped if it overlaps a base span, a single word also if a run of numbers holds it.
+    apart = lambda c, spans: ~F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    d = d.withColumn("joined", F.filter(F.transform(matches(F.col("t"), _JOINED), trimmed), lambda c: (F.length(c["value"]) >= 3) & apart(c, "base")))
+    words = F.filter(F.transform(matches(F.col("t"), _CANDIDATE), trimmed), lambda c: (F.length(c["value"]) >= 3) & apart(c, "base") & apart(c, "joined"))
+    free = F.concat("joined", words)
     known = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"), b["value"].alias("value")))
     placed = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.xxhash64(x["value"]).alias("inst"), _before(F.col("t"), x["start"]).alias("before"), _after(F.col("t"), x["end"]).alias("after"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,inst:bigint,before:string,after:string>>")

@@ -48,6 +48,17 @@ def test_contexts_discover_identifiers(spark):
     assert all("phone:" in got[i] for i in range(60))
 
 
+def test_contexts_discover_identifiers_with_spaces(spark):
+    random.seed(10)
+    card = lambda ok: next(v for v in iter(lambda: " ".join(str(random.randrange(1000, 9999)) for _ in range(4)), None) if luhn(v.replace(" ", "")) == ok)
+    rows = [(i, f"w{i}a please call me at +1 ({random.randrange(200, 999)}) 555-{random.randrange(1000, 9999)} now") for i in range(60)]
+    rows += [(100 + i, f"w{i}a charge my card {card(True)} today") for i in range(60)]
+    rows += [(200, "so call me at (555) 123-4567 now"), (201, f"so charge my card {card(False)}, today"), (202, "so call me at " + "x" * 70 + "7 now"), (203, "so call me at 1.2.3.4 5551234 now"), (204, "so call me at 10.2 5x7 now")]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (200, 201, 202)] == ["ctx_phone:14:28", "ctx_card:18:37", "ctx_phone:14:85"]
+    assert got[203] == "ip:14:21" and got[204] == "ctx_phone:14:18"
+
+
 def test_empty_and_clashes(spark):
     df = spark.createDataFrame([(1, "mail x@y.zz", "k")], "doc_id long, text string, base string")
     assert pii.find(df).head().spans[0].kind == "email"
