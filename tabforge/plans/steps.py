@@ -119,6 +119,9 @@ def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None) -
     import pandas as pd
 
     v = run.project.varselect
+    kind = v.filter_by.upper()
+    if kind not in ("KS", "IV", "MIX", "PARETO"):
+        raise NotImplementedError(f"Selection by {kind} isn't wired into the steps.")
     rows = [{"column_name": c, "ks": m["stats"].get("ks") or 0.0, "iv": m["stats"].get("iv") or 0.0, "missing_rate": m["stats"].get("missing_rate", 0.0)} for c, m in run.meta.items() if "bins" in m and m["flag"] != "ForceRemove"]
     meta = pd.DataFrame(rows, columns=["column_name", "ks", "iv", "missing_rate"])
     reasons = select.auto_filter(meta, correlations, v.missing_rate, v.min_iv, v.min_ks, v.correlation, force=v.force_select, target="tag")
@@ -126,7 +129,6 @@ def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None) -
     left = meta[~meta.column_name.isin([r.column for r in reasons])]
     n = select._count(len(left), v.count, v.filter_out_ratio)
     by = lambda k: list(left.sort_values([k, "column_name"], ascending=[False, True]).column_name)
-    kind = v.filter_by.upper()
     order = select.pareto(left, v.count, v.filter_out_ratio) if kind == "PARETO" else by("iv") if kind == "IV" else by("ks")
     if kind == "MIX":
         order = list(dict.fromkeys(c for pair in zip(by("ks"), by("iv"), strict=True) for c in pair))
@@ -146,7 +148,12 @@ def norm(run: Run, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def train(run: Run, table: DataFrame) -> Run:
     t = run.project.train
-    params = ({"hidden": []} if t.algorithm == "LR" else {"hidden": [16]}) | {"epochs": t.epochs} | t.params
+    kind = t.algorithm.upper()
+    if kind not in ("LR", "NN"):
+        raise NotImplementedError(f"Training of {kind} isn't wired into the steps.")
+    if t.folds > 0 or t.up_sample != 1:
+        raise NotImplementedError("Folds and up-sampling aren't wired into the steps.")
+    params = ({"hidden": []} if kind == "LR" else {"hidden": [16]}) | {"epochs": t.epochs} | t.params
     key = F.xxhash64(*[F.col(c) for c in table.columns])
     done = search.train_bags(table, run.features, "tag", key, params, t.bags, t.bag_rate, t.with_replacement, t.validation_rate, "weight", t.seed)
     run.models = [m for m, _ in done]
