@@ -804,7 +804,9 @@ def genetic_selection(spark, sf_dir):
 
     df = items(spark, sf_dir)
     fitness = search.subset_fitness(df, [*NUMERIC, "l_linenumber"], "tag", epochs=5)
-    return spark.createDataFrame([(c,) for c in select.genetic([*NUMERIC, "l_linenumber"], fitness, 2, 6, 3)], "column_name string")
+    chosen = select.genetic([*NUMERIC, "l_linenumber"], fitness, 2, 6, 3)
+    fitness.done()
+    return spark.createDataFrame([(c,) for c in chosen], "column_name string")
 
 
 @query()

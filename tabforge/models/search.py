@@ -121,35 +121,57 @@ def stacked(df: DataFrame, parts: list[tuple[list[str], dict[str, object]]], tar
 
 
 def subset_fitness(df: DataFrame, columns: list[str], target: str, epochs: int = 15, hidden: int = 4, seed: int = 1) -> Callable[[list[list[str]]], list[float]]:
-    """Validation error of a small net on a column subset: all subsets of a generation train at the same time, each task
-    on its own subset over one bounded sample of rows that is sent once."""
+    """Validation error of a small net on a column subset, over all rows: every epoch is one pass in which each partition
+    adds up the gradients of all subsets of a generation.  Three tenths of the rows, by a hash, are for validation.
+    The rows are cached; done() of what is returned lets them go."""
     import pandas as pd
 
-    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(target).cast("double").alias("__t")).orderBy(F.xxhash64(*columns)).limit(5_000).toPandas()
-    spark = df.sparkSession
-    x, t = rows[columns].to_numpy(), rows["__t"].to_numpy()
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    data = spark.sparkContext.broadcast((x, t))  # at most 5000 rows
+    numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(target).cast("double").alias("__t"))
+    about = numbers.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).head()
+    scaled = numbers.select(*[((F.col(c) - F.lit(about[f"m{i}"] or 0.0)) / F.lit(about[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(columns)], "__t")
+    rows = net.prepared(scaled, columns, "__t", validation=sample.unit(F.xxhash64(*columns), seed) < 0.3)
 
-    def fitness(subsets: list[list[str]]) -> list[float]:
-        jobs = spark.createDataFrame([(i, [columns.index(c) for c in s]) for i, s in enumerate(subsets)], "i int, cols array<int>").repartition(max(1, len(subsets)), "i")
+    def sums(nets: list[Net], chosen: list[list[int]], validation: bool) -> np.ndarray:
+        """Sums over the training rows of all gradients, or over the validation rows of squared errors; then the rows."""
+        size = len(nets) if validation else sum(w.size for n in nets for w in n.weights)
 
         def run(batches):
+            total = np.zeros(size + 1)
             for pdf in batches:
-                out = []
-                for i, cols in zip(pdf["i"], pdf["cols"], strict=True):
-                    x, t = data.value
-                    x, cut = x[:, np.asarray(cols)], int(len(t) * 0.7)
-                    n, u = Net.create(x.shape[1], [hidden], seed=seed), Updater("ADAM", 0.1)
-                    for _ in range(epochs):
-                        g, _ = n.gradient(x[:cut], t[:cut], np.ones(cut))
-                        n = Net(n.sizes, n.activations, u.step(n.weights, g, cut))
-                    out.append((i, float(((n.predict(x[cut:]) - t[cut:]) ** 2).mean())))
-                yield pd.DataFrame(out, columns=["i", "error"])
-
-        got = {r["i"]: r["error"] for r in jobs.mapInPandas(run, "i int, error double").collect()}
-        return [got[i] for i in range(len(subsets))]
+                pdf = pdf[pdf["is_validation"].to_numpy(bool) == validation]
+                if not len(pdf):
+                    continue
+                x, t = np.stack(pdf["features"].to_numpy()), np.stack(pdf["target"].to_numpy())[:, 0]
+                if validation:
+                    total[:-1] += [((n.predict(x[:, c]) - t) ** 2).sum() for n, c in zip(nets, chosen, strict=True)]
+                else:
+                    total[:-1] += np.concatenate([g.ravel() for n, c in zip(nets, chosen, strict=True) for g in n.gradient(x[:, c], t, np.ones(len(t)))[0]])
+                total[-1] += len(t)
+            yield pd.DataFrame({"i": np.arange(size + 1), "v": total})
+
+        out = np.zeros(size + 1)
+        for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as weights
+            out[r["i"]] = r["v"]
+        return out
 
+    def fitness(subsets: list[list[str]]) -> list[float]:
+        if not subsets:
+            return []
+        chosen = [[columns.index(c) for c in s] for s in subsets]
+        nets = [Net.create(len(c), [hidden], seed=seed) for c in chosen]
+        updaters = [Updater("ADAM", 0.1) for _ in nets]
+        for _ in range(epochs):
+            flat, at = sums(nets, chosen, False), 0
+            for k, n in enumerate(nets):
+                grads = []
+                for w in n.weights:
+                    grads.append(flat[at : at + w.size].reshape(w.shape))
+                    at += w.size
+                nets[k] = Net(n.sizes, n.activations, updaters[k].step(n.weights, grads, flat[-1]))
+        errors = sums(nets, chosen, True)
+        return [float(e / max(errors[-1], 1.0)) for e in errors[:-1]]
+
+    fitness.done = rows.unpersist
     return fitness
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabforge.config import DataSet, Project
@@ -270,3 +271,14 @@ def test_generic_models(spark):
     assert [r.score for r in got] == [30.0, 30.0]
     cols, model = generic.load('{"columns": ["a"], "module": "numpy", "factory": "poly1d", "arguments": {"c_or_r": [2, 1]}}')
     assert cols == ["a"] and list(model(np.array([1.0, 2.0]))) == [3.0, 5.0]
+
+
+def test_subset_fitness_reads_every_row(spark):
+    # a tells the target of all rows but the 6,000 that hash least, which only b tells.
+    rows = spark.range(40_000).select(F.expr("pmod(xxhash64(id), 1000) / 1000D").alias("a"), F.expr("pmod(xxhash64(id, 7), 1000) / 1000D").alias("b"))
+    first = rows.withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64("a", "b"))))
+    df = first.select("a", "b", F.when(F.col("r") <= 6000, F.col("b") > 0.5).otherwise(F.col("a") > 0.5).cast("int").alias("tag"))
+    fitness = search.subset_fitness(df, ["a", "b"], "tag", epochs=15)
+    by_a, by_b = fitness([["a"], ["b"]])
+    fitness.done()
+    assert by_a < by_b and fitness([]) == []
