@@ -21,41 +21,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables: spark.checkpoint.dir; only where that is unset (tests), a local folder is set."""
+    """The shared folder for work tables: spark.checkpoint.dir; only where that is unset and Spark runs in this one process
+    (tests), a local folder is set.  On a cluster without that setting each executor would write to its own disk: an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tabforge-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-_written: list[str] = []
+#: Work tables by scope: the process's own first, then those of the open scratch() blocks.
+_scopes: list[list[str]] = [[]]
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder for a work table or archive."""
+def work_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new place in the shared folder for a work table or archive, of the open scope or, if outer, of that around it."""
     path = f"{shared_dir(spark)}/tabforge-work/{uuid.uuid4().hex}-{name}"
-    _written.append(path)
+    _scopes[-2 if outer and len(_scopes) > 1 else -1].append(path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and is read column by column."""
-    path = work_path(df.sparkSession, name)
+    path = work_path(df.sparkSession, name, outer)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_work(spark: SparkSession) -> int:
-    """Deletes the work tables that this process has written, through Hadoop's file system, wherever the shared folder is;
-    to be called once the frames that read them are done with.  Returns how many there were."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def delete(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes work tables through Hadoop's file system, wherever the shared folder is; returns how many."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+    return len(paths)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the work tables that are written while it is open once it closes, but for those written as outer ones: these
+    are what the frame that goes out still reads."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _scopes.pop())
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Deletes the work tables that this process has written and not yet deleted; to be called once the frames that read
+    them are done with.  Returns how many there were."""
+    paths, _scopes[0] = _scopes[0], []
+    return delete(spark, paths)
 
 
 @contextlib.contextmanager

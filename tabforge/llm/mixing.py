@@ -126,10 +126,19 @@ def copies(rate_col: Column, key: Column) -> Column:
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, key: str = "doc_id", text_col: str = "text", domain_col: str = "lang", keep: list[str] | None = None, least: float = 0.0) -> tuple[DataFrame, Domains]:
-    """keep columns (all by default), n_tokens, posterior, rate and copies of every document, and the classifier."""
+    """keep columns (all by default), n_tokens, posterior, rate and copies of every document, and the classifier.
+
+    The steps are fitted on a written table of posteriors and kept columns.  Texts are never written: where they are kept,
+    that table holds no other column, is deleted after the fit, and the posteriors are computed once more on the way out.
+    """
     kept = [c for c in dict.fromkeys([*(docs.columns if keep is None else keep), key]) if c not in ("n_tokens", "posterior", "rate", "copies")]
     domains = fit_domains(docs, labelled, sorted(targets), key, text_col, domain_col)
-    table = common.written(with_posteriors(docs, domains, text_col).select(*kept, "n_tokens", "posterior"), "members")
-    steps = fit_rates(table, domains.names, targets, budget, least)
+    scored = with_posteriors(docs, domains, text_col).select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "posterior")
+    with common.scratch(docs.sparkSession):
+        if text_col in kept:
+            table, members = scored, common.written(scored.select("n_tokens", "posterior"), "members")
+        else:
+            table = members = common.written(scored, "members", outer=True)
+        steps = fit_rates(members, domains.names, targets, budget, least)
     out = table.withColumn("rate", rate(steps, F.col("posterior"), least))
     return out.withColumn("copies", copies(F.col("rate"), F.col(key))), domains

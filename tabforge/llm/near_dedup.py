@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import small_batches, sub_batches, tidy, written
+from tabforge.llm.common import scratch, small_batches, sub_batches, tidy, written
 
-TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 256
+TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 128
 #: A pair is confirmed if its share of equal signature values is at most this much below the bound: 4.5 standard errors.
 SLACK = 0.2
 #: Ids of this many nodes at most are broadcast (16 MB); more are joined by a shuffle.
@@ -213,35 +213,66 @@ def across(blocks: DataFrame, t: float) -> DataFrame:
     return dealt.select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, suspects)), "probe long, comp long").distinct()
 
 
+def _dealt(suspects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, comp, probe and block of the rows to compare: every probe meets every node of its suspect components in a block.
+
+    Suspects that hang together through shared probes or components are a cluster.  A cluster is dealt out as one grid of
+    blocks, or each of its components as a grid of its own, whichever takes fewer rows: the one bounds what many small
+    components that look like each other cost, the other what a long chain does.
+    """
+    cluster = components(suspects.select(F.col("probe").alias("a"), F.col("comp").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    pairs = written(suspects.join(cluster, "comp"), "pairs")
+    rows = lambda c, p: c * F.ceil(p / BLOCK) + p * F.ceil(c / BLOCK)
+    single = pairs.groupBy("comp", "cluster").agg(F.count("*").alias("p")).join(nodes.groupBy("comp").agg(F.count("*").alias("c")), "comp")
+    single = written(single, "single")
+    joint = single.groupBy("cluster").agg(F.sum(rows(F.col("c"), F.col("p"))).alias("apart"), F.sum("c").alias("c")).join(pairs.groupBy("cluster").agg(F.count_distinct("probe").alias("p")), "cluster")
+    joint = joint.select("cluster", (rows(F.col("c"), F.col("p")) <= F.col("apart")).alias("whole"))
+    group = written(single.join(joint, "cluster").select("comp", "c", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("comp")).alias("grp")), "of")
+    probes = pairs.join(group.select("comp", "grp"), "comp").select(F.col("probe").alias("id"), "grp").distinct()
+    probes = written(probes.join(nodes.select("id", "comp"), "id"), "probes")
+    sizes = group.groupBy("grp").agg(F.sum("c").alias("c")).join(probes.groupBy("grp").agg(F.count("*").alias("p")), "grp")
+    sizes = written(sizes.select("grp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes")), "sizes")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    as_base = nodes.select("id", "comp").join(group.select("comp", "grp"), "comp").join(sizes, "grp").select("grp", "id", "comp", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
+    as_probe = probes.join(sizes, "grp").select("grp", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
+    return written(as_base.union(as_probe).select("id", "comp", "probe", F.xxhash64("grp", "i", "j").alias("block")), "search", outer=True)
+
+
 def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
     """Links (a, b) of probes with components of which at least one node reaches the similarity on full sets.
 
-    nodes: id, comp, n, sig of every node.  Each probe is compared with the whole component, in blocks of at most about
-    BLOCK nodes and BLOCK probes; inside a block signatures tell which sets to compare, and the first link ends the search.
+    nodes: id, comp, n, sig of every node.  Each probe is compared with its whole suspect components, in blocks of about
+    BLOCK nodes and BLOCK probes; inside a block signatures tell which sets to compare, the likeliest first, and components
+    that a link has joined aren't compared again.
     """
-    sizes = suspects.groupBy("comp").agg(F.count("*").alias("p")).join(nodes.groupBy("comp").agg(F.count("*").alias("c")), "comp")
-    sizes = written(sizes.select("comp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes")), "sizes")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    as_base = nodes.select("id", "comp").join(sizes, "comp").select("id", "comp", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
-    as_probe = suspects.select(F.col("probe").alias("id"), "comp").join(sizes, "comp").select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
-    rows = written(as_base.union(as_probe).select("id", "comp", "probe", F.xxhash64("comp", "i", "j").alias("block")), "search")
+    with scratch(docs.sparkSession):
+        rows = _dealt(suspects, nodes)
     sets = _sets(rows.select(F.col("id").alias("doc_id")).distinct(), docs, key, text_col, words)
     full = rows.join(nodes.select("id", "n", "sig"), "id").join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
     percent = round(100 * t)
 
     def links(block):
         ids, comp, n, sig, members, probe = block
-        base, out = np.flatnonzero(~probe), []
+        base, out, parent = np.flatnonzero(~probe), [], {}
+
+        def top(x):
+            while (y := parent.get(x, x)) != x:
+                x = y
+            return x
+
         for p in np.flatnonzero(probe):
+            own = top(comp[p])
             alike = base[_alike(n[base], n[p], sig[base], np.broadcast_to(sig[p], (len(base), _M)), t)]
             for i in alike[np.argsort(-(sig[alike] == sig[p]).sum(1), kind="stable")]:
+                if (other := top(comp[i])) == own:
+                    continue
                 x, y = members[i], members[p]
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 common = int((large[at] == small).sum())
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     out.append((ids[p], comp[i]))
-                    break
+                    parent[other] = own
         if out:
             a, b = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -288,20 +319,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words:
 
 def components(edges: DataFrame) -> DataFrame:
     """id and comp (smallest id reachable) of every node with an edge (a, b), by alternating large-star and small-star steps."""
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
-    while True:
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        # Written, so that the join below exchanges both its sides and a node with very many edges can be split.
-        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        e = written(small.distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == state:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        state = now
+    with scratch(edges.sparkSession):
+        e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+        state = None
+        while True:
+            both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
+            # Written, so that the join below exchanges both its sides and a node with very many edges can be split.
+            least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+            large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+            e = written(small.distinct(), "edges")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+            if now == state:
+                return written(e.select(F.col("u").alias("id"), F.col("v").alias("comp")), "components", outer=True)
+            state = now
 
 
 def _regions(reps: DataFrame) -> DataFrame:
@@ -330,12 +362,15 @@ def _blocks(regions: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    with small_batches(docs.sparkSession):
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, as a written table.
+
+    The tables made on the way are deleted.
+    """
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         sk, of = _grouped(docs, key, text_col, words, similarity)
-    out = sk.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        out = sk.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return written(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "groups", outer=True)
 
 
 def _grouped(docs: DataFrame, key: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -157,9 +157,16 @@ def rejected(cutoffs: dict[str, dict[str, int]], stratum_col: str = "lang") -> C
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """keep columns of docs (all by default), measures, base_failed and kept, with cutoffs certified on the labels.
 
-    The measured table is written once, since both calibration and verdict read it.
+    Calibration reads a written table of measures.  Where the text isn't kept, verdicts are given on that table too; where
+    it is, the table holds keys, strata and measures only, is deleted after calibration, and texts are measured once more
+    on the way out: no text is written.
     """
     kept = [c for c in dict.fromkeys([*(docs.columns if keep is None else keep), key, stratum_col]) if c not in ("measures", "base_failed", "kept")]
-    table = common.written(measured(docs, text_col).select(*kept, "measures"), "quality-measures")
-    cutoffs = calibrate(table, labels, key, stratum_col)
+    table = measured(docs, text_col).select(*[F.col(f"`{c}`") for c in kept], "measures")
+    with common.scratch(docs.sparkSession):
+        if text_col in kept:
+            cutoffs = calibrate(common.written(table.select(key, stratum_col, "measures"), "quality-measures"), labels, key, stratum_col)
+        else:
+            table = common.written(table, "quality-measures", outer=True)
+            cutoffs = calibrate(table, labels, key, stratum_col)
     return table.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs, stratum_col))

@@ -15,11 +15,21 @@ def test_words_are_split_as_the_contract_has_it(spark):
 def test_work_tables_are_written_and_cleared(spark):
     common.clear_work(spark)
     df = common.written(spark.range(5), "t")
-    path = common._written[-1].removeprefix("file://")
+    path = common._scopes[0][-1].removeprefix("file://")
     assert df.count() == 5 and os.path.isdir(path)
     assert common.clear_work(spark) == 1 and not os.path.exists(path)
 
 
+def test_scratch_keeps_outer_tables_only(spark):
+    with common.scratch(spark):
+        common.written(spark.range(5), "inner")
+        inner = common._scopes[-1][-1].removeprefix("file://")
+        df = common.written(spark.range(6), "outer", outer=True)
+        assert os.path.isdir(inner)
+    assert not os.path.exists(inner) and df.count() == 6
+    common.clear_work(spark)
+
+
 def test_batches_are_bounded_and_put_back(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

@@ -56,6 +56,9 @@ def test_repeated_rows_and_empty(spark, tmp_path):
     docs = spark.createDataFrame([(1, text, "en", "s", 1, 9), (1, text, "en", "s", 1, 9), (2, text, "en", "s", 1, 9), (None, text, "en", "s", 1, 9)], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1]
+    other = " ".join(f"v{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, 9), (1, other, "en", "s", 1, 9), (1, other, "de", "s", 1, 9), (3, other, "en", "s", 1, 9)], docs.schema)
+    assert sorted((r.doc_id, r.text, r.lang) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [(1, other, "de"), (1, text, "en")]
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
