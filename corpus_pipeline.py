@@ -7,10 +7,11 @@ one's docs.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabforge.llm import bpe, mixing, near_dedup, quality, secrets
-from tabforge.llm.common import bound_batches, table, written
+from tabforge.llm.common import bound_batches, delete, scratch, table, work_path, written
 from tabforge.llm.queries import TARGETS, TOKENIZER, trusted
 
 #: Near-duplicates: words of a shingle and similarity.
@@ -25,14 +26,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays, once; documents without doc_id stay."""
-    groups = written(near_dedup.near_groups(docs, words=WORDS, similarity=SIMILARITY), "groups")
-    gone = written(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.filter("doc_id IS NULL"))
-    return out
+    """Of each group of near-duplicates the document of the smallest doc_id stays; documents without doc_id stay.
+
+    Rows that share a doc_id are one document: those of equal text are repeats, of which the one that is least as JSON
+    stays; those of different texts all stay or all go, since each text is the only one of its kind.
+    """
+    with scratch(spark):
+        groups = near_dedup.near_groups(docs, words=WORDS, similarity=SIMILARITY)
+        gone = written(groups.filter("NOT kept").select("doc_id").distinct(), "gone", outer=True)
+        again = written(groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again", outer=True)
+    ids = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x.hint("merge")
+    out = docs.join(ids(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return out
+    again = ids(again)
+    order = W.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    once = out.join(again, "doc_id", "left_semi").withColumn("\0row", F.row_number().over(order)).filter(F.col("\0row") == 1)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +72,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = work_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete(spark, before)  # the rows of the stage before are done with
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
