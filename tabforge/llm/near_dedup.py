@@ -6,9 +6,9 @@ form a region.  Within a region the sorted order puts those with the longest com
 dense region neighbours share a deeper prefix: each node is paired with its next NEIGHBOURS in every order.  Pairs are
 confirmed on their full sets and joined into components.  What neighbours can miss is then looked up exactly: in every
 region that still holds more than one component, all nodes outside its largest component are compared by signature
-with all nodes of other components, in blocks of bounded size.  A node that looks like one of another component is then
-compared with that whole component on full sets, again in blocks.  No region is capped, and pairs are only listed where
-nodes are neighbours: what a block finds is a row for each node and component at most.
+with all nodes of other components, in blocks of bounded size.  Nodes that look like one of another component are then
+compared on full sets, again in blocks.  No region is capped, and pairs are only listed where nodes are neighbours: what
+a block finds is a row for each of its rows at most.
 
 A pair at the similarity bound shares a region with probability 1 - (1 - t^DEPTH)^TREES, above 0.9999 at t = 0.8.
 
@@ -180,79 +180,88 @@ def _by_block(batches, names: list[str], each):
         cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         cuts = np.flatnonzero(np.diff(cols[0])) + 1
         for a, b in zip(np.r_[0, cuts[:-1]] if len(cuts) else (), cuts, strict=True):
-            yield from each([c[a:b] for c in cols[1:]])
+            yield from each([c[a:b] for c in cols])
         last = cuts[-1] if len(cuts) else 0
         held = [c[last:] for c in cols]
     if held is not None and len(held[0]):
-        yield from each(held[1:])
+        yield from each(held)
 
 
 def across(blocks: DataFrame, t: float) -> DataFrame:
-    """(probe, comp): a probe row and a component, not its own, of which a base row of its block looks alike by signature.
+    """block, id, probe, root: the probe and base rows of a block that look alike by signature though their components differ.
 
-    Two nodes that share several regions are compared in that of their first tree only, and two that are both outside
-    the largest component only from the one of the smaller component.
+    root names the rows of a block that hang together, so there is one row for each row of the block at most, however many
+    pairs look alike.  Two nodes that share several regions are compared in that of their first tree only, and two that are
+    both outside the largest component only from the one of the smaller component.
     """
 
     def suspects(block):
-        ids, comp, n, sig, probe, tree, top = block
-        out = []
+        name, ids, comp, n, sig, probe, tree, top = block
+        root = np.arange(len(ids))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        hit = np.zeros(len(ids), bool)
         for p in np.flatnonzero(probe):
             i = np.flatnonzero(~probe & ((comp > comp[p]) | (comp == top) & (comp != comp[p])))
             if len(i):
                 i = i[_alike(n[i], n[p], sig[i], np.broadcast_to(sig[p], (len(i), _M)), t)]
                 shared = (sig[i] == sig[p]).reshape(len(i), TREES, DEPTH).all(2)
-                found = np.unique(comp[i[shared.argmax(1) == tree[p]]])
-                out.append((np.full(len(found), ids[p]), found))
-        if out:
-            probes, comps = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(probes, pa.int64()), pa.array(comps, pa.int64())], names=["probe", "comp"])
+                for x in i[shared.argmax(1) == tree[p]]:
+                    hit[[x, p]] = True
+                    root[find(x)] = find(p)
+        at = np.flatnonzero(hit)
+        if len(at):
+            least: dict[int, int] = {}
+            for x in at:
+                least[r] = min(least.get(r := find(x), ids[x]), ids[x])
+            yield pa.RecordBatch.from_arrays([pa.array(name[at], pa.int64()), pa.array(ids[at], pa.int64()), pa.array(probe[at], pa.bool_()), pa.array([least[find(x)] for x in at], pa.int64())], names=["block", "id", "probe", "root"])
 
     names = ["block", "id", "comp", "n", "sig", "probe", "tree", "top"]
     dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, suspects)), "probe long, comp long").distinct()
+    return dealt.select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, suspects)), "block long, id long, probe boolean, root long")
 
 
-def _dealt(suspects: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, comp, probe and block of the rows to compare: every probe meets every node of its suspect components in a block.
+def _dealt(suspects: DataFrame, comps: DataFrame) -> DataFrame:
+    """id, comp, probe, also and block of the rows to compare: each suspect pair meets in a block.
 
-    Suspects that hang together through shared probes or components are a cluster.  A cluster is dealt out as one grid of
-    blocks, or each of its components as a grid of its own, whichever takes fewer rows: the one bounds what many small
-    components that look like each other cost, the other what a long chain does.
+    Suspects that hang together over all blocks are a cluster.  A cluster is dealt out as one grid of blocks of about BLOCK
+    nodes and BLOCK probes, or its rows stay in the blocks in which they were found, whichever takes fewer rows: the one
+    bounds what a dense cluster costs, the other what a long chain does.  also: the node of a base row is a probe of the
+    grid too, so its pairs with other probes need comparing from one side only.
     """
-    cluster = components(suspects.select(F.col("probe").alias("a"), F.col("comp").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
-    pairs = written(suspects.join(cluster, "comp"), "pairs")
-    rows = lambda c, p: c * F.ceil(p / BLOCK) + p * F.ceil(c / BLOCK)
-    single = pairs.groupBy("comp", "cluster").agg(F.count("*").alias("p")).join(nodes.groupBy("comp").agg(F.count("*").alias("c")), "comp")
-    single = written(single, "single")
-    joint = single.groupBy("cluster").agg(F.sum(rows(F.col("c"), F.col("p"))).alias("apart"), F.sum("c").alias("c")).join(pairs.groupBy("cluster").agg(F.count_distinct("probe").alias("p")), "cluster")
-    joint = joint.select("cluster", (rows(F.col("c"), F.col("p")) <= F.col("apart")).alias("whole"))
-    group = written(single.join(joint, "cluster").select("comp", "c", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("comp")).alias("grp")), "of")
-    probes = pairs.join(group.select("comp", "grp"), "comp").select(F.col("probe").alias("id"), "grp").distinct()
-    probes = written(probes.join(nodes.select("id", "comp"), "id"), "probes")
-    sizes = group.groupBy("grp").agg(F.sum("c").alias("c")).join(probes.groupBy("grp").agg(F.count("*").alias("p")), "grp")
-    sizes = written(sizes.select("grp", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes")), "sizes")
+    cluster = components(suspects.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    rows = written(suspects.select("block", "id", "probe").distinct().join(cluster.select("id", F.col("comp").alias("cluster")), "id"), "suspects")
+    nodes = written(rows.groupBy("id", "cluster").agg(F.max("probe").alias("also")), "members")
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("c"), F.count_if("also").alias("p"))
+    sizes = sizes.select("cluster", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes"), (F.col("c") * F.ceil(F.col("p") / BLOCK) + F.col("p") * F.ceil(F.col("c") / BLOCK)).alias("cost"))
+    sizes = written(sizes.join(rows.groupBy("cluster").agg(F.count("*").alias("found")), "cluster"), "sizes")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    as_base = nodes.select("id", "comp").join(group.select("comp", "grp"), "comp").join(sizes, "grp").select("grp", "id", "comp", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"))
-    as_probe = probes.join(sizes, "grp").select("grp", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"))
-    return written(as_base.union(as_probe).select("id", "comp", "probe", F.xxhash64("grp", "i", "j").alias("block")), "search", outer=True)
+    grid = nodes.join(sizes.filter("cost <= found"), "cluster")
+    as_base = grid.select("cluster", "id", own("base").alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), F.lit(False).alias("probe"), "also")
+    as_probe = grid.filter("also").select("cluster", "id", F.explode(F.sequence(F.lit(0), F.col("base") - 1)).alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"), "also")
+    placed = as_base.union(as_probe).select("id", "probe", "also", F.xxhash64("cluster", "i", "j").alias("block"))
+    left = rows.join(sizes.filter("cost > found").select("cluster"), "cluster").select("id", "probe", F.lit(False).alias("also"), "block")
+    return placed.union(left).join(comps.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
-    """Links (a, b) of probes with components of which at least one node reaches the similarity on full sets.
+def searched(suspects: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text_col: str, words: int, t: float) -> DataFrame:
+    """Links (a, b) between components: suspect pairs that reach the similarity on full sets.
 
-    nodes: id, comp, n, sig of every node.  Each probe is compared with its whole suspect components, in blocks of about
-    BLOCK nodes and BLOCK probes; inside a block signatures tell which sets to compare, the likeliest first, and components
-    that a link has joined aren't compared again.
+    Inside a block signatures tell which sets to compare, the likeliest first, and components that a link has joined aren't
+    compared again.
     """
     with scratch(docs.sparkSession):
-        rows = _dealt(suspects, nodes)
+        rows = written(_dealt(suspects, comps), "search", outer=True)
     sets = _sets(rows.select(F.col("id").alias("doc_id")).distinct(), docs, key, text_col, words)
     full = rows.join(nodes.select("id", "n", "sig"), "id").join(sets.select(F.col("doc_id").alias("id"), "members"), "id")
     percent = round(100 * t)
 
     def links(block):
-        ids, comp, n, sig, members, probe = block
+        _, ids, comp, n, sig, members, probe, also = block
         base, out, parent = np.flatnonzero(~probe), [], {}
 
         def top(x):
@@ -262,7 +271,8 @@ def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
 
         for p in np.flatnonzero(probe):
             own = top(comp[p])
-            alike = base[_alike(n[base], n[p], sig[base], np.broadcast_to(sig[p], (len(base), _M)), t)]
+            others = base[(comp[base] != comp[p]) & (~also[base] | (comp[base] > comp[p]))]
+            alike = others[_alike(n[others], n[p], sig[others], np.broadcast_to(sig[p], (len(others), _M)), t)]
             for i in alike[np.argsort(-(sig[alike] == sig[p]).sum(1), kind="stable")]:
                 if (other := top(comp[i])) == own:
                     continue
@@ -277,7 +287,7 @@ def searched(suspects: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
             a, b = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    names = ["block", "id", "comp", "n", "sig", "members", "probe"]
+    names = ["block", "id", "comp", "n", "sig", "members", "probe", "also"]
     return full.repartition("block").sortWithinPartitions("block").select(*names).mapInArrow(tidy(lambda batches: _by_block(batches, names, links)), "a long, b long").distinct()
 
 
@@ -388,7 +398,7 @@ def _grouped(docs: DataFrame, key: str, text_col: str, words: int, similarity: f
     rest = written(across(_blocks(regions, first), similarity), "suspects")
     comps = first
     if not rest.isEmpty():
-        nodes = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = searched(rest, nodes, docs, key, text_col, words, similarity)
+        nodes = reps.select("id", F.col("n_shingles").alias("n"), "sig")
+        more = searched(rest, first, nodes, docs, key, text_col, words, similarity)
         comps = components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
     return sk, written(reps.join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("component_id")), "components")

@@ -45,7 +45,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("words,block", [(2, 256), (5, 4)])
+@pytest.mark.parametrize("words,block", [(2, 256), (5, 4), (2, 1)])
 def test_components_against_brute_force(spark, monkeypatch, words, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus()
