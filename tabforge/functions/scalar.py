@@ -15,10 +15,23 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def parsed(c: Column | str) -> Column:
+    """Double of a text, NaN and infinities included, null where it isn't a number."""
+    return column(c).try_cast("double") if hasattr(Column, "try_cast") else column(c).cast("double")
+
+
 def number(c: Column | str) -> Column:
     """Double of a text, null where it isn't a finite number (NaN counts as missing)."""
-    v = column(c).try_cast("double") if hasattr(Column, "try_cast") else column(c).cast("double")
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).otherwise(v)
+    v = parsed(c)
+    return F.when(F.abs(v) < float("inf"), v)  # NaN is above infinity
+
+
+def as_float(text: str) -> float:
+    """Number of a Python text, NaN where it is none."""
+    try:
+        return float(text)
+    except ValueError:
+        return float("nan")
 
 
 def is_missing(c: Column | str, tokens: tuple[str, ...] = MISSING_TOKENS) -> Column:

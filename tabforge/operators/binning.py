@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabforge.functions.scalar import category
+from tabforge.functions.scalar import category, parsed
 from tabforge.operators.prep import bin_eligible, hybrid_parts
 from tabforge.operators.profile import valid_number
 
@@ -47,7 +47,7 @@ class Bins:
             x, v = hybrid_parts(c, self.threshold)
         else:
             x, v = (valid_number(c), None) if self.kind == "N" else (None, category(c))
-        numeric = F.greatest(F.size(F.filter(F.array(*[F.lit(float(b)) for b in self.bounds]), lambda b: b <= x)) - 1, F.lit(0)) if self.bounds else None
+        numeric = place(self.bounds, parsed(c)) if self.bounds else None  # where x is there it is just this
         flat = [y for i, g in enumerate(self.groups) for k in g for y in (F.lit(k), F.lit(len(self.bounds) + i))]
         named = F.try_element_at(F.create_map(*flat), v) if flat else F.lit(None).cast("int")
         found = named if numeric is None else F.when(x.isNotNull(), numeric) if v is None else F.coalesce(F.when(x.isNotNull(), numeric), named)
@@ -72,6 +72,39 @@ class Bins:
         return "@^".join(self.groups[i - len(self.bounds)])
 
 
+#: Bounds up to so many are searched by nested cases, which compile to comparisons; more by a filter of an array.
+MOST_CASES = 128
+
+
+def place(bounds: list[float], x: Column) -> Column:
+    """Index of the last bound that isn't above x, 0 below all: a halving search."""
+    if len(bounds) > MOST_CASES:
+        return F.get(F.transform(F.array(x), lambda v: F.greatest(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= v)) - 1, F.lit(0))), F.lit(0))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        return F.when(x < F.lit(float(bounds[mid])), search(low, mid - 1)).otherwise(search(mid, high))
+
+    return search(0, len(bounds) - 1)
+
+
+def indexed(df: DataFrame, bins: list[Bins], keep: list[Column]) -> DataFrame:
+    """keep columns, k (place of the column in bins) and bin: a row for each row and column.
+
+    Indexes are columns of a projection of their own, where what they share is computed once, before rows are multiplied.
+    """
+    names = [f"__bin{k}" for k in range(len(bins))]
+    wide = df.select(*keep, *[b.index().alias(n) for b, n in zip(bins, names, strict=True)])
+    return wide.select(*[c for c in wide.columns if c not in names], F.posexplode(F.array(*names)).alias("k", "bin"))
+
+
+def name_of(bins: list[Bins]) -> Column:
+    """Name of the column at place k."""
+    return F.get(F.array(*[F.lit(b.name) for b in bins]), F.col("k"))
+
+
 def _ascending(values) -> list[float]:
     return [-INF, *sorted({float(v) for v in values if v is not None and not math.isnan(v)})]
 
@@ -171,13 +204,16 @@ def _uniform(points: list[tuple[float, float]], k: int) -> list[float]:
 
 
 def categories(df: DataFrame, columns: list[str], most: int = 10_000) -> list[Bins]:
-    """A bin for each category, in order; a column of more than `most` categories has none."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), category(c).alias("v")) for c in columns])).alias("x")).select("x.*").filter("v IS NOT NULL").distinct()
-    ranked = long.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("v"))).filter(F.col("r") <= most + 1)
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in ranked.toLocalIterator():
-        found[r["c"]].append(r["v"])
-    return [Bins(c, groups=[[v] for v in sorted(found[c])] if len(found[c]) <= most else []) for c in columns]
+    """A bin for each category, in order; a column of more than `most` categories has none.
+
+    Distinct values are counted first; only those of columns with few enough reach the driver, most * columns at most.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), category(c).alias("v")) for k, c in enumerate(columns)])).alias("x")).select("x.*").filter("v IS NOT NULL").distinct()
+    few = long.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("k")
+    found: list[list[str]] = [[] for _ in columns]
+    for r in long.join(F.broadcast(few), "k").toLocalIterator():  # as many rows as columns
+        found[r["k"]].append(r["v"])
+    return [Bins(c, groups=[[v] for v in sorted(found[k])]) for k, c in enumerate(columns)]
 
 
 def hybrid(df: DataFrame, column: str, threshold: float, k: int = 10, method: str = "EqualTotal", tag: str = "tag", exact: bool = False) -> Bins:
@@ -192,16 +228,17 @@ def hybrid(df: DataFrame, column: str, threshold: float, k: int = 10, method: st
 def bin_counts(df: DataFrame, bins: list[Bins], tag: str = "tag", weight: str | None = None, group: list[str] | None = None) -> DataFrame:
     """group columns, column_name, bin, pos, neg, weighted_pos, weighted_neg of every bin that has rows.
 
-    Each row is exploded to its bin indexes, and sums are merged before the shuffle, which carries columns * bins rows.
+    Sums by place and bin are merged before the shuffle, which carries columns * bins rows; names come last.
     """
     group = group or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    long = df.select(*group, F.col(tag).alias("__tag"), w.alias("__w"), F.explode(F.array(*[F.struct(F.lit(b.name).alias("column_name"), b.index().alias("bin")) for b in bins])).alias("x")).select(*group, "__tag", "__w", "x.*")
+    long = indexed(df, bins, [*[F.col(g) for g in group], F.col(tag).alias("__tag"), w.alias("__w")])
     is_pos, is_neg = F.col("__tag") == 1, F.col("__tag") == 0
-    return long.groupBy(*group, "column_name", "bin").agg(
+    sums = long.groupBy(*group, "k", "bin").agg(
         F.sum(F.when(is_pos, 1).otherwise(0)).cast("bigint").alias("pos"), F.sum(F.when(is_neg, 1).otherwise(0)).cast("bigint").alias("neg"),
         F.sum(F.when(is_pos, F.col("__w")).otherwise(0.0)).alias("weighted_pos"), F.sum(F.when(is_neg, F.col("__w")).otherwise(0.0)).alias("weighted_neg"),
     )
+    return sums.select(*group, name_of(bins).alias("column_name"), "bin", "pos", "neg", "weighted_pos", "weighted_neg")
 
 
 def _entropy(p: float, n: float) -> float:

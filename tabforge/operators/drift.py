@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabforge.operators.binning import Bins
+from tabforge.operators.binning import Bins, indexed, name_of
 from tabforge.operators.profile import valid_number
 
 
 def population(df: DataFrame, bins: list[Bins], unit: str) -> DataFrame:
     """unit, column_name, bin, rows: one aggregation that shuffles units * columns * bins rows."""
-    long = df.select(F.col(unit).cast("string").alias("unit"), F.explode(F.array(*[F.struct(F.lit(b.name).alias("column_name"), b.index().alias("bin")) for b in bins])).alias("x"))
-    return long.groupBy("unit", "x.column_name", "x.bin").agg(F.count("*").alias("rows"))
+    counts = indexed(df, bins, [F.col(unit).cast("string").alias("unit")]).groupBy("unit", "k", "bin").agg(F.count("*").alias("rows"))
+    return counts.select("unit", name_of(bins).alias("column_name"), "bin", "rows")
 
 
 def unit_stats(df: DataFrame, columns: list[str], unit: str) -> DataFrame:

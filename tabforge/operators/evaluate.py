@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabforge.operators.binning import Bins, running
+from tabforge.operators.binning import Bins, indexed, name_of, running
 
 
 def score_summary(scores: Column, weights: list[float] | None = None) -> dict[str, Column]:
@@ -67,13 +67,17 @@ def points(c: DataFrame, curves: list[str] | None = None, buckets: int = 10) ->
     r = rates(c)
     curves = curves or list(CURVES)
     steps = [(k, b) for k in curves for b in range(1, buckets + 1)]
-    first = r.agg(*[F.min(F.when(F.col(CURVES[k]) >= b / buckets - 1e-12, F.col("rn"))).alias(f"p{i}") for i, (k, b) in enumerate(steps)], F.max("rn").alias("n"))
-    long = first.select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("curve"), F.lit(b).alias("bucket"), F.col(f"p{i}").alias("first")) for i, (k, b) in enumerate(steps)])))
+    # One row: the places of all points and the highest score, which is that of the point before all rows.
+    first = r.agg(*[F.min(F.when(F.col(CURVES[k]) >= b / buckets - 1e-12, F.col("rn"))).alias(f"p{i}") for i, (k, b) in enumerate(steps)], F.max("rn").alias("n"), F.max("score").alias("top"))
+    places = F.array(*[F.struct(F.lit(k).alias("curve"), F.lit(b).alias("bucket"), F.col(f"p{i}").alias("first")) for i, (k, b) in enumerate(steps)], *[F.struct(F.lit(k).alias("curve"), F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("first")) for k in curves])
+    long = first.filter("n IS NOT NULL").select("n", "top", F.inline(places))
     at = (F.col("bucket") + F.max(F.col("first") - F.col("bucket")).over(W.partitionBy("curve").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).alias("rn")
-    wanted = long.filter("first IS NOT NULL").select("curve", "bucket", at, "n").filter("rn <= n").drop("n")
-    start = r.orderBy("rn").limit(1).select(*[F.col(x) if x == "score" else (F.lit(1.0) if "precision" in x else F.lit(0.0)).alias(x) for x in ("score", *_MEASURES)])
-    zero = start.select(F.explode(F.array(*[F.lit(k) for k in curves])).alias("curve"), F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("rn"), "*")
-    return zero.unionByName(r.join(F.broadcast(wanted), "rn").select("curve", "bucket", "rn", "score", *_MEASURES))  # curves * buckets rows
+    wanted = long.filter("first IS NOT NULL").select("curve", "bucket", at, "n", "top").filter("rn <= n")
+    wanted = wanted.withColumnRenamed("rn", "at").withColumn("rn", F.greatest("at", F.lit(1)))
+    rows = r.join(F.broadcast(wanted), "rn")  # curves * buckets rows
+    zero = F.col("bucket") == 0
+    made = [F.when(zero, F.lit(1.0 if "precision" in x else 0.0)).otherwise(F.col(x)).alias(x) for x in _MEASURES]
+    return rows.select("curve", "bucket", F.col("at").alias("rn"), F.when(zero, F.col("top")).otherwise(F.col("score")).alias("score"), *made)
 
 
 _MEASURES = [f"{p}{m}" for p in ("", "weighted_") for m in ("action_rate", "recall", "precision", "fpr", "lift")]
@@ -132,30 +136,33 @@ def vote(scores: Column, labels: list[str]) -> Column:
 
 def bin_scores(df: DataFrame, bins: list[Bins], score: str) -> DataFrame:
     """column_name, bin, rows, average score."""
-    long = df.select(F.col(score).cast("double").alias("s"), F.explode(F.array(*[F.struct(F.lit(b.name).alias("column_name"), b.index().alias("bin")) for b in bins])).alias("x"))
-    return long.groupBy("x.column_name", "x.bin").agg(F.count("*").alias("rows"), F.avg("s").alias("avg_score"))
+    sums = indexed(df, bins, [F.col(score).cast("double").alias("s")]).groupBy("k", "bin").agg(F.count("*").alias("rows"), F.avg("s").alias("avg_score"))
+    return sums.select(name_of(bins).alias("column_name"), "bin", "rows", "avg_score")
 
 
-def _ranked(df: DataFrame, bins: list[Bins], averages: DataFrame) -> Column:
-    """Array of (average score, column) of a row's bins, best first, ties by column order."""
+def _ranked(df: DataFrame, bins: list[Bins], averages: DataFrame) -> tuple[DataFrame, Column]:
+    """df with the bins' average scores in columns, and the array of (score negated, place of the column) of a row, best
+    first, ties by column order."""
     avg: dict[str, dict[int, float]] = {}
     for r in averages.collect():  # columns * bins rows
         avg.setdefault(r["column_name"], {})[r["bin"]] = r["avg_score"]
     of = lambda b: F.get(F.array(*[F.lit(float(avg.get(b.name, {}).get(i, 0.0))) for i in range(b.size + 1)]), b.index())
-    return F.array_sort(F.array(*[F.struct((-of(b)).alias("s"), F.lit(k).alias("k"), F.lit(b.name).alias("column_name")) for k, b in enumerate(bins)]))
+    wide = df.select("*", *[of(b).alias(f"__avg{k}") for k, b in enumerate(bins)])
+    return wide, F.sort_array(F.array(*[F.struct((-F.col(f"__avg{k}")).alias("s"), F.lit(k).alias("k")) for k in range(len(bins))]))
 
 
 def importance(df: DataFrame, bins: list[Bins], averages: DataFrame, top: int = 3) -> DataFrame:
     """column_name, points: in each row the columns of the best bin scores earn top, top - 1, ... points."""
-    ranked = F.slice(_ranked(df, bins, averages), 1, top)
-    return df.select(F.posexplode(ranked).alias("p", "x")).groupBy("x.column_name").agg(F.sum(F.lit(top) - F.col("p")).cast("bigint").alias("points"))
+    wide, ranked = _ranked(df, bins, averages)
+    sums = wide.select(F.posexplode(F.slice(ranked, 1, top)).alias("p", "x")).groupBy(F.col("x.k").alias("k")).agg(F.sum(F.lit(top) - F.col("p")).cast("bigint").alias("points"))
+    return sums.select(name_of(bins).alias("column_name"), "points")
 
 
 def reasons(df: DataFrame, bins: list[Bins], averages: DataFrame, texts: dict[str, str] | None = None, top: int = 3, keep: list[str] | None = None) -> DataFrame:
     """keep columns and reasons: texts of the columns with the best bin scores in a row, without repeats, best first."""
-    text = F.create_map(*[F.lit(v) for kv in (texts or {b.name: b.name for b in bins}).items() for v in kv])
-    named = F.transform(_ranked(df, bins, averages), lambda x: F.coalesce(F.try_element_at(text, x["column_name"]), x["column_name"]))
-    return df.select(*(keep or []), F.slice(F.array_distinct(named), 1, top).alias("reasons"))
+    text = F.array(*[F.lit((texts or {}).get(b.name, b.name)) for b in bins])
+    wide, ranked = _ranked(df, bins, averages)
+    return wide.select(*(keep or []), F.slice(F.array_distinct(F.transform(ranked, lambda x: F.get(text, x["k"]))), 1, top).alias("reasons"))
 
 
 def sensitivity(diffs: DataFrame) -> DataFrame:

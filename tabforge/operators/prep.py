@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,15 @@ from tabforge.functions.scalar import column, is_missing, number, trim_tag
 
 def tag(target: Column | str, positive: list[str], negative: list[str]) -> Column:
     """1 for a positive tag, 0 for a negative one, null for any other; tags are trimmed and numeric ones stripped of .0."""
-    t = trim_tag(target)
+    t = _compared(target, [*positive, *negative])
     return F.when(t.isin(*[_plain(p) for p in positive]), F.lit(1)).when(t.isin(*[_plain(n) for n in negative]), F.lit(0))
 
 
+def _compared(target: Column | str, tags: list[str]) -> Column:
+    """What tags are compared with: only where one of them is a number, zeros of a value's fraction matter."""
+    return trim_tag(target) if any(re.fullmatch(r"[-+]?[0-9]*\.?[0-9]*", _plain(t)) for t in tags) else F.trim(column(target).cast("string"))
+
+
 def _plain(t: str) -> str:
     t = str(t).strip()
     try:
@@ -32,7 +38,7 @@ def tagged(df: DataFrame, target: str, positive: list[str], negative: list[str],
 
 def tag_index(target: Column | str, tags: list[str]) -> Column:
     """Index of a tag of several, null for any other."""
-    t = trim_tag(target)
+    t = _compared(target, tags)
     return reduce(lambda acc, it: acc.when(t == it[1], it[0]), list(enumerate(map(_plain, tags)))[1:], F.when(t == _plain(tags[0]), 0))
 
 

@@ -6,17 +6,20 @@ one row of results is turned into a row for each column.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.config import MISSING_TOKENS
-from tabforge.functions.scalar import category, is_missing, number
+from tabforge.functions.scalar import as_float, category, column, is_missing, number
 
 #: Added to the variance's numerator, as the profile's definition has it.
 EPS = 1e-6
 BATCH = 100
+#: Types of which a value is the same number by way of its text and without.
+PLAIN = ("double", "bigint", "int", "smallint", "tinyint")
 
 
 def _stacked(df: DataFrame, columns: list[str], aggregates) -> DataFrame:
@@ -33,6 +36,8 @@ def _stacked(df: DataFrame, columns: list[str], aggregates) -> DataFrame:
 def valid_number(c: str, missing: tuple[str, ...] = MISSING_TOKENS, threshold: float | None = None) -> Column:
     """A column's value as a number; null where missing, unparsable, or above the threshold."""
     v = F.when(~is_missing(c, missing), number(c))
+    if all(math.isnan(as_float(t)) for t in missing):  # no number counts as missing, so columns that hold numbers need no look at their text
+        v = F.when(F.typeof(column(c)).isin(*PLAIN), number(c)).otherwise(v)  # the type is known when the plan is made: one branch is left of it
     return v if threshold is None else F.when(v <= threshold, v)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators.binning import Bins
+from tabforge.operators.binning import Bins, indexed, name_of
 from tabforge.operators.drift import psi
 
 
@@ -13,8 +13,8 @@ def binned_counts(events: DataFrame, bins: list[Bins], time: str = "ts", window:
     """window_start, column_name, bin, rows of a stream or a table; events later than the watermark are left out of a
     stream's windows, whose state is columns * bins rows per open window."""
     src = events.withWatermark(time, late) if events.isStreaming else events
-    long = src.select(F.col(time), F.explode(F.array(*[F.struct(F.lit(b.name).alias("column_name"), b.index().alias("bin")) for b in bins])).alias("x"))
-    return long.groupBy(F.window(time, window).alias("w"), F.col("x.column_name").alias("column_name"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("rows")).select(F.col("w.start").alias("window_start"), "column_name", "bin", "rows")
+    counts = indexed(src, bins, [F.col(time)]).groupBy(F.window(time, window).alias("w"), "k", "bin").agg(F.count("*").alias("rows"))
+    return counts.select(F.col("w.start").alias("window_start"), name_of(bins).alias("column_name"), "bin", "rows")
 
 
 def window_psi(counts: DataFrame, reference: DataFrame) -> DataFrame:
