@@ -63,3 +63,20 @@ def test_empty_and_clashes(spark):
     df = spark.createDataFrame([(1, "mail x@y.zz", "k")], "doc_id long, text string, base string")
     assert pii.find(df).head().spans[0].kind == "email"
     assert pii.digest(df.limit(0)).count() == 0
+
+
+def test_evidence_travels_over_two_contexts_and_decoys_stay(spark):
+    random.seed(11)
+    number = lambda: f"0{random.randrange(1000, 9999)} {random.randrange(100000, 999999)}"
+    shared = [number() for _ in range(30)]
+    rows = [(i, f"w{i}a please call me at +1 ({random.randrange(200, 999)}) 555-{random.randrange(1000, 9999)} now") for i in range(60)]
+    rows += [(100 + i, f"w{i}a so call me at {v} now") for i, v in enumerate(shared)]
+    rows += [(200 + i, f"w{i}a her mobile rings {v} often") for i, v in enumerate(shared)]
+    rows += [(300 + i, f"w{i}a his mobile rings {number()} often") for i in range(40)]
+    rows += [(400 + i, f"w{i}a invoice order number {random.randrange(10**7, 10**8)} was paid") for i in range(300)]
+    rows += [(800 + i, f"w{i}a invoice order number +1 (555) 555-{1000 + i} was paid") for i in range(8)]
+    rows += [(900 + i, f"w{i}a on page number {i + 100} of it") for i in range(60)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = {i for i, r in got.items() if r.n_ctx}
+    assert {*range(100, 130), *range(200, 230), *range(300, 340)} == hits
+    assert all(r.spans.startswith("ctx_phone:") and r.n_ctx == 1 for i, r in got.items() if i in hits)
