@@ -1,9 +1,75 @@
 import hashlib
 import random
+import statistics
+import struct
+
+import xxhash
 
 from tabforge.llm import fingerprints
 
 
+def xx(*values):
+    """Spark's xxhash64 of longs, (int,) tuples for ints, text and nulls, unsigned."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<Q", v % 2**64)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def numbered(text):
+    """(hash, place) of the numbered k-mers in the order of their hashes."""
+    low, w = fingerprints._LOW, [xx(t) for t in text.split()]
+    seen, out = {}, []
+    grams = []
+    for i in range(max(len(w) - 2, min(len(w), 1))):
+        grams.append((xx(*(w[i + k] if i + k < len(w) else None for k in range(3))) >> (low + 1), i))
+    for g, i in sorted(grams):
+        seen[g] = seen.get(g, -1) + 1
+        out.append((xx(g, (seen[g],)) >> (low + 1), i))
+    return sorted(out)
+
+
+def brute_slots(text):
+    """Every slot by sorting all numbered k-mers in the slot's own order."""
+    e, n = numbered(text), fingerprints.SLOTS
+    width = 63 - fingerprints._LOW - 6
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    out = []
+    for j in range(n if e else 0):
+        rank = {b: (b != j, signed(xx((j,), (b,))) & -n | b) for b in {h >> width for h, _ in e}}
+        least = sorted(e, key=lambda x: (rank[x[0] >> width], x))[:2]
+        out.append(xx(*(h for h, _ in sorted(least, key=lambda x: x[1]))) & 65535)
+    return out
+
+
+def test_every_slot_against_brute_force(spark):
+    random.seed(13)
+    rows = [(i, " ".join(f"w{random.randrange(40)}" for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 9, 20, 40, 64, 100, 150, 300, 1000, 4000] * 2)] + [(99, "same " * 500)]
+    got = {r.doc_id: r.p for r in fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), "text", "p").collect()}
+    for i, t in rows:
+        assert got[i] == brute_slots(t), i
+
+
+def test_likeness_varies_as_with_independent_orders():
+    random.seed(14)
+    for kmers in (12, 40):
+        own, free = [], []
+        for trial in range(250):
+            a = [f"{trial} {random.random()}".replace(" ", "_") for _ in range(kmers + 2)]
+            b = list(a)
+            for k in random.sample(range(len(b)), max(1, kmers // 12)):
+                b[k] = "edit"
+            x, y = brute_slots(" ".join(a)), brute_slots(" ".join(b))
+            own.append(sum(p == q for p, q in zip(x, y, strict=True)) / 64)
+            pick = lambda e, j: [h for h, _ in sorted(sorted(e, key=lambda z: xx(z[0], (j,)))[:2], key=lambda z: z[1])]
+            ea, eb = numbered(" ".join(a)), numbered(" ".join(b))
+            free.append(sum(pick(ea, j) == pick(eb, j) for j in range(64)) / 64)
+        assert statistics.stdev(own) <= 1.1 * statistics.stdev(free)
+        assert abs(statistics.mean(own) - statistics.mean(free)) < 0.02
+
+
 def edited(rows):
     """Brute force: next document by id, nulls first, of repeated ids any one text may follow."""
     ids = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i))
@@ -22,7 +88,7 @@ def test_contract_against_brute_force(spark):
     random.seed(11)
     words = ["ab", "cd", "é", "😀x", "zz", "日本語"]
     rows = [(i * 3, " ".join(random.choice(words) for _ in range(random.randrange(60)))) for i in range(80)] + [(None, "null id"), (7, None), (8, ""), (9, "one"), (9, "one"), (10**12, "last of all " * 40)]
-    out = fingerprints.compared(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_chars int").repartition(5)).collect()
+    out = fingerprints.compared(spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_chars int, __tf_e string").repartition(5)).collect()
     assert len(out) == len(rows)
     got = {}
     for r in out:
