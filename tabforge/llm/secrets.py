@@ -4,8 +4,9 @@ Pattern matches of three base kinds are always reported.  Besides them, base64 a
 reported only if their inside is that of a secret: a signed token with a JSON header, a key in DER or in OpenSSH or PEM
 armour whose nested lengths fit exactly, or text that itself holds an assigned secret or an access key.
 
-Defined results: a null text counts as empty and has no spans; repeated rows each give a row; an empty table gives an
-empty table.  Offsets are code points, ends exclusive.
+Defined results: a null text counts as empty and has no spans; repeated rows each give a row; spans of equal start come in
+the order of KINDS, so there are no other ties; a text is scanned whole, in time that grows with its length; other columns
+stay, but one that has the name of the result is replaced; an empty table gives an empty table.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,10 @@ KINDS = (*BASE, "pem", "jwt", "der", "ssh", "wrapped")
 _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
+#: Marks of armour; a key lies between a BEGIN and the next mark, if that is the END of the same label.
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
+_ARMOUR = re.compile(r"[A-Za-z0-9+/=\s:,.-]*")
+_BLANK_LINE = re.compile(r"\r?\n[ \t]*\r?\n")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Parts of such a run in one alphabet, tried where the whole run is no secret: a word may be joined to a value.
@@ -145,13 +151,25 @@ def confirmed(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     if depth > 2:
         return out
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = b64(re.sub(r"\s", "", m[2].rpartition("\n\n")[2]))
-            if body and (is_der_key(body) or is_ssh_key(body) or "ENCRYPTED" in m[1] + m[2] and body[:1] == b"\x30" and der_items(body)):
-                out.append((m.start(), m.end(), "pem"))
+        marks = list(_PEM.finditer(text))
+        for begin, end in zip(marks, marks[1:], strict=False):
+            if (begin[1], end[1], begin[2]) != ("BEGIN", "END", end[2]) or not (armour := _ARMOUR.fullmatch(text, begin.end(), end.start())):
+                continue
+            body = b64(re.sub(r"\s", "", _BLANK_LINE.split(armour[0].rstrip())[-1]))
+            if body and (is_der_key(body) or is_ssh_key(body) or "ENCRYPTED" in begin[2] + armour[0] and body[:1] == b"\x30" and der_items(body)):
+                out.append((begin.start(), end.end(), "pem"))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
-    within = lambda m: any(s <= m.start() and m.end() <= e for s, e, _ in out)
+    holders: tuple[list[int], list[int]] = ([], [])
+
+    def hold() -> None:
+        """Starts of the spans so far, in order, and the furthest end up to each."""
+        found = sorted(out)
+        holders[0][:], holders[1][:] = [s for s, _, _ in found], accumulate((e for _, e, _ in found), max)
+
+    def within(m) -> bool:
+        i = bisect_right(holders[0], m.start()) - 1
+        return i >= 0 and holders[1][i] >= m.end()
 
     def opened(m, decode) -> bool:
         if not within(m) and (data := decode(m[0])) and (kind := inside(data, depth)):
@@ -159,10 +177,19 @@ def confirmed(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
             return True
         return False
 
+    hold()
     for m in _BASE64.finditer(text):
         if not opened(m, b64):
-            for part in (x for p in _ONE_ALPHABET for x in p.finditer(text, *m.span()) if x.span() != m.span()):
-                opened(part, b64)
+            inner: list[tuple[int, int]] = []  # of the first alphabet, in order, so what the second finds needs a look at one
+            for p in _ONE_ALPHABET:
+                seen, at = list(inner), 0
+                for part in p.finditer(text, *m.span()):
+                    while at < len(seen) and seen[at][1] < part.end():
+                        at += 1
+                    held = at < len(seen) and seen[at][0] <= part.start()
+                    if part.span() != m.span() and not held and opened(part, b64):
+                        inner.append(part.span())
+    hold()
     for m in _ANY_HEX.finditer(text):
         opened(m, lambda v: bytes.fromhex(v) if len(v) % 2 == 0 else None)
     return out

@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from tabforge.llm import secrets
 
@@ -34,6 +35,9 @@ def kinds(text):
 def test_structures():
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----"
     assert kinds(f"x {pem} y") == ["pem"]
+    body = base64.encodebytes(RSA).decode().replace("\n", "\r\n")
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,CLEAR\r\n\r\n{body}-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY----- broken {pem}") == ["pem"] and kinds(pem.replace("END RSA", "END EC")) == []
     assert kinds(f"a {JWT} b") == ["jwt"]
     assert kinds(f"k {base64.b64encode(PKCS8).decode()} b") == ["der"]
     assert kinds(f"k {RSA.hex().upper()} b") == ["der"]
@@ -84,3 +88,27 @@ def test_redact(spark):
     out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, secret_spans string"))
     assert [(r.doc_id, r.text, r.secret_spans) for r in out.orderBy("doc_id").collect()] == [(1, "a [SECRET] b", "k"), (2, None, "k"), (3, "plain", "k")]
     assert json.dumps(secrets.spans("")) == "[]"
+
+
+def test_long_texts_take_time_in_proportion():
+    for piece in ("-----BEGIN PRIVATE KEY-----", f"{JWT} ", "-----BEGIN ", base64.b64encode(PKCS8).decode() + " ", "ab+/-_" * 5 + " ", "password="):
+        took = []
+        for n in (20_000, 200_000):
+            text = piece * (n // len(piece))
+            began = time.perf_counter()
+            secrets.spans(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * max(took[0], 0.02), piece
+
+
+def test_planted_structures_in_a_table(spark):
+    random.seed(15)
+    forms = [base64.b64encode(RSA).decode(), base64.urlsafe_b64encode(RSA).decode(), PKCS8.hex(), JWT, "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(PKCS8).decode() + "-----END PRIVATE KEY-----", base64.b64encode("password = hunter2hunter2-grün".encode()).decode()]
+    noise = lambda n: base64.b64encode(random.randbytes(n)).decode()
+    rows = [(i, f"some text {i} then {forms[i % len(forms)]} and more") for i in range(120)] + [(1000 + i, f"some text {noise(60)} {random.randbytes(24).hex().upper()} more") for i in range(120)]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    structural = lambda s: [x for x in s.split(",") if x and x.split(":")[0] not in secrets.BASE]
+    assert all(len(structural(got[i])) == 1 for i in range(120)) and not any(structural(got[1000 + i]) for i in range(120))
+    for i in range(120):
+        kind, a, b = structural(got[i])[0].split(":")
+        assert rows[i][1][int(a) : int(b)].strip() == forms[i % len(forms)].strip()
