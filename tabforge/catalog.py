@@ -356,14 +356,27 @@ def stratified_sample(spark, sf_dir):
     return sample.stratified(read(spark, sf_dir, "orders"), {"F": 0.2, "O": 0.5}, "o_orderstatus", F.col("o_orderkey"), draw=_draw).select("o_orderkey", "o_orderstatus")
 
 
-@query()
+@query("SELECT (h % 5)::INT AS fold, count(*)::BIGINT AS rows FROM (SELECT ('0x' || md5(o_orderkey::VARCHAR)[1:12])::BIGINT AS h FROM orders) GROUP BY 1")
 def kfold_assign(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy(sample.fold(F.col("o_orderkey"), 5).alias("fold")).agg(F.count("*").alias("rows"))
+    return read(spark, sf_dir, "orders").groupBy(sample.fold(F.col("o_orderkey"), 5, _md5_number).alias("fold")).agg(F.count("*").alias("rows"))
 
 
-@query()
+def _md5_number(key: Column) -> Column:
+    """Whole number below 2^48 of a key, by a hash that SQL has too."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
+def _md5_draw(key: Column, seed: int) -> Column:
+    return _md5_number(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))).cast("double") / F.lit(float(2**48))
+
+
+_DRAW_SQL = "SELECT bag, ('0x' || md5(o_orderkey::VARCHAR || ':' || bag::VARCHAR)[1:12])::BIGINT::DOUBLE / 281474976710656.0 AS u FROM orders, range(0, 3) b(bag)"
+_POISSON_SQL = "len(list_filter(range(0, 30), lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda i: exp(-1.0) / factorial(i::INT)))))"
+
+
+@query(f"SELECT bag::INT AS bag, {_POISSON_SQL}::INT AS times, count(*)::BIGINT AS rows FROM ({_DRAW_SQL}) GROUP BY 1, 2")
 def bagging(spark, sf_dir):
-    df = sample.with_bags(read(spark, sf_dir, "orders"), 3, 1.0, F.col("o_orderkey"), replacement=True)
+    df = sample.with_bags(read(spark, sf_dir, "orders"), 3, 1.0, F.col("o_orderkey"), replacement=True, draw=_md5_draw)
     return df.select(F.posexplode("bags").alias("bag", "times")).groupBy("bag", "times").agg(F.count("*").alias("rows"))
 
 
@@ -654,7 +667,9 @@ def select_mix(spark, sf_dir):
     return select.mixed(_meta(spark, sf_dir), 2).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(f"""{_SEL_SQL}, box AS (SELECT column_name, ks, iv, trunc(ks / 100 / 0.01) AS x, trunc(iv / 0.05) AS y, row_number() OVER (PARTITION BY trunc(ks / 100 / 0.01), trunc(iv / 0.05) ORDER BY ks DESC, iv DESC, column_name) AS n FROM (SELECT column_name, round(ks, 6) AS ks, round(iv, 6) AS iv FROM meta)),
+f AS (SELECT a.column_name, a.ks, a.n = 1 AND NOT EXISTS (SELECT 1 FROM box b WHERE (b.x <> a.x OR b.y <> a.y) AND b.x >= a.x AND b.y >= a.y) AS front FROM box a)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY front DESC, ks DESC, column_name)::INT AS rank, column_name FROM f) WHERE rank <= 3""")
 def select_pareto(spark, sf_dir):
     chosen = select.pareto(_meta(spark, sf_dir).toPandas(), 3)
     return spark.createDataFrame(list(enumerate(chosen, 1)), "rank int, column_name string")
@@ -688,22 +703,108 @@ def bins_sketch(spark, sf_dir):
     return _bounds_frame(spark, binning.equal_population(items(spark, sf_dir), NUMERIC, 10, "EqualPositive"))
 
 
-@query()
+#: Greedy merging of neighbouring groups (p, n, l: positives, negatives, number of the first bin or list of labels), one step
+#: a round; the least rise of entropy comes first, of equal ones the first pair.
+def _merge_sql(start: str, go: str, label: str = "l") -> str:
+    """Recursive SQL from start (name, g: list of groups) while `go` holds of g and of m, the groups after a merge."""
+    e = lambda p, n: f"(CASE WHEN {p} > 0 THEN -{p} * ln({p} / ({p} + {n})) ELSE 0 END + CASE WHEN {n} > 0 THEN -{n} * ln({n} / ({p} + {n})) ELSE 0 END)"
+    both = e("(g[i].p + g[i + 1].p)", "(g[i].n + g[i + 1].n)")
+    cost = f"list_transform(range(1, len(g)), lambda i: {both} - {e('g[i].p', 'g[i].n')} - {e('g[i + 1].p', 'g[i + 1].n')})"
+    merged = f"g[:(pos - 1)] || [{{'p': g[pos].p + g[pos + 1].p, 'n': g[pos].n + g[pos + 1].n, 'l': g[pos].l{' || g[pos + 1].l' if label == 'list' else ''}}}] || g[(pos + 2):]"
+    return f"""steps AS (SELECT name, g, 0 AS step FROM ({start}) UNION ALL
+ SELECT name, m, step + 1 FROM (SELECT name, g, step, {merged} AS m FROM (SELECT *, list_position(c, list_min(c)) AS pos FROM (SELECT *, {cost} AS c FROM steps WHERE len(g) > 1))) WHERE {go}),
+final AS (SELECT name, g FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY step DESC) AS r FROM steps) WHERE r = 1)"""
+
+
+def _lows_frame(spark, bins: list[Bins]) -> DataFrame:
+    return spark.createDataFrame([(b.name, i, None if i == 0 else round(x, 6)) for b in bins for i, x in enumerate(b.bounds)], "column_name string, bin int, low double")
+
+
+#: Counts of all ten bins of equal width (empty ones too) as groups, and the lower bounds of the groups that are left.
+_TEN = "SELECT column_name AS name, list({'p': p, 'n': n, 'l': bin} ORDER BY bin) AS g FROM (SELECT r.column_name, k.bin, coalesce(pos, 0)::DOUBLE AS p, coalesce(neg, 0)::DOUBLE AS n FROM (SELECT DISTINCT column_name FROM bounds) r CROSS JOIN range(0, 10) k(bin) LEFT JOIN counts c ON c.column_name = r.column_name AND c.bin = k.bin) GROUP BY 1"
+_LOWS = "SELECT name AS column_name, (i - 1)::INT AS bin, round(b[g[i].l], 6) AS low FROM (SELECT name, g, UNNEST(range(1, len(g) + 1)) AS i FROM final) JOIN bounds ON column_name = name"
+_WITH_RECURSIVE = _WITH_COUNTS.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_WITH_RECURSIVE}, {_merge_sql(_TEN, 'len(g) > 6')} {_LOWS}")
 def bins_entropy(spark, sf_dir):
-    return _bounds_frame(spark, binning.dynamic(items(spark, sf_dir), NUMERIC, 6, 40))
+    df = items(spark, sf_dir)
+    return _lows_frame(spark, binning.dynamic(df, NUMERIC, 6, start=binning.equal_interval(df, NUMERIC)))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT o_orderpriority AS v, sum((l_returnflag = 'R')::INT)::DOUBLE AS p, sum((l_returnflag <> 'R')::INT)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+{_merge_sql("SELECT 'o_orderpriority' AS name, list({'p': p, 'n': n, 'l': [v]} ORDER BY p / (p + n), v) AS g FROM c", 'len(g) > 3', 'list')}
+SELECT name AS column_name, (i - 1)::INT AS bin, array_to_string(g[i].l, '@^') AS label FROM (SELECT name, g, UNNEST(range(1, len(g) + 1)) AS i FROM final)""")
 def bins_merged_categories(spark, sf_dir):
     df = items_orders(spark, sf_dir)
     return _bounds_frame(spark, binning.merge_categories(df, binning.categories(df, ["o_orderpriority"]), 3))
 
 
-@query()
+_IV_OF = "list_sum(list_transform({x}, lambda q: (q.n / list_sum(list_transform({x}, lambda z: z.n)) - q.p / list_sum(list_transform({x}, lambda z: z.p))) * ln((q.n / list_sum(list_transform({x}, lambda z: z.n)) + 1e-10) / (q.p / list_sum(list_transform({x}, lambda z: z.p)) + 1e-10))))"
+_REBIN_GO = f"len(g) > 8 OR len(g) > 2 AND {_IV_OF.format(x='m')} >= 0.9 * (SELECT any_value({_IV_OF.format(x='t.g')}) FROM ten t WHERE t.name = q.name)"
+
+
+@query(f"{_WITH_RECURSIVE}, ten AS ({_TEN}), {_merge_sql('SELECT * FROM ten', _REBIN_GO).replace('WHERE len(g) > 1)))', 'WHERE len(g) > 1))) q')} {_LOWS}")
 def rebin_iv(spark, sf_dir):
     df, bins, table = _interval_table(spark, sf_dir)
     counts = binning._collected(table, bins)
-    return _bounds_frame(spark, [binning.rebin(b, counts[b.name], 8, 50, 0.9) for b in bins])
+    return _lows_frame(spark, [binning.rebin(b, counts[b.name], 8, 50, 0.9) for b in bins])
+
+
+# ---- models with fixed weights ---------------------------------------------------------------------------------------
+
+_X = ["l_discount", "l_tax"]
+_FIXED = ([[0.5, -1.5], [2.0, 0.25], [0.1, -0.2]], [[1.25], [-0.75], [0.3]])  # two hidden units, one output; the last row is the bias
+_SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
+_HIDDEN_SQL = [_SIG(f"{_FIXED[0][0][k]} * l_discount + {_FIXED[0][1][k]} * l_tax + {_FIXED[0][2][k]}") for k in range(2)]
+_NET_SQL = _SIG(f"{_FIXED[1][0][0]} * {_HIDDEN_SQL[0]} + {_FIXED[1][1][0]} * {_HIDDEN_SQL[1]} + {_FIXED[1][2][0]}")
+
+
+def _fixed_net():
+    import numpy as np
+
+    from tabforge.models import net
+
+    return net.Net([2, 2, 1], ["sigmoid", "sigmoid"], [np.array(w) for w in _FIXED])
+
+
+@query(f"SELECT {_KEY} AS id, round({_NET_SQL}, 6) AS score FROM lineitem")
+def score_fixed_net(spark, sf_dir):
+    from tabforge.models import net
+
+    df = items(spark, sf_dir).withColumn("id", F.expr(_KEY))
+    return net.scored(df, _X, [_fixed_net()]).select("id", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+
+
+_LINEAR_SQL = _SIG("1.5 * l_discount - 2.0 * l_tax + 0.25")
+
+
+@query(f"SELECT UNNEST([0, 1, 2, 3]) AS i, UNNEST([sum(w * (p - t) * l_discount), sum(w * (p - t) * l_tax), sum(w * (p - t)), sum(w)]).round(3) AS value FROM (SELECT *, (l_returnflag = 'R')::INT AS t, l_quantity AS w, {_LINEAR_SQL} AS p FROM lineitem)")
+def gradient_sums(spark, sf_dir):
+    import numpy as np
+
+    from tabforge.models import net
+
+    rows = net.prepared(items(spark, sf_dir), _X, "tag", "weight")
+    grads, _, weight, _, _ = net.epoch(rows, net.Net([2, 1], ["sigmoid"], [np.array([[1.5], [-2.0], [0.25]])]), "log")
+    rows.unpersist()
+    return spark.createDataFrame([(i, round(float(v), 3)) for i, v in enumerate([*grads[0][:, 0], weight])], "i int, value double")
+
+
+def _fixed_tree():
+    from tabforge.models.trees import Node
+
+    leaf = lambda v: Node(value=v)
+    return Node(0, 0.05, left=Node(1, 0.03, left=leaf(0.1), right=leaf(0.4)), right=Node(1, 0.06, left=leaf(0.6), right=leaf(0.9)))
+
+
+@query(f"SELECT {_KEY} AS id, CASE WHEN l_discount <= 0.05 THEN 'L' ELSE 'R' END || CASE WHEN l_tax <= CASE WHEN l_discount <= 0.05 THEN 0.03 ELSE 0.06 END THEN 'L' ELSE 'R' END AS tree_0, CASE WHEN l_discount <= 0.05 THEN CASE WHEN l_tax <= 0.03 THEN 0.1 ELSE 0.4 END ELSE CASE WHEN l_tax <= 0.06 THEN 0.6 ELSE 0.9 END END::DOUBLE AS score FROM lineitem")
+def tree_fixed(spark, sf_dir):
+    from tabforge.models import trees
+
+    df = items(spark, sf_dir).withColumn("id", F.expr(_KEY))
+    df = df.withColumn("score", trees.expression(_fixed_tree(), [F.col(c) for c in _X]))
+    return trees.encoded(df, [_fixed_tree()], _X, 3, ["id", "score"]).select("id", "tree_0", "score")
 
 
 # ---- training, models and steps --------------------------------------------------------------------------------------
@@ -840,14 +941,14 @@ def project_steps(spark, sf_dir):
     return area
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS tag FROM lineitem")
 def normal_shuffle(spark, sf_dir):
     return transform.shuffled(items(spark, sf_dir).select("l_orderkey", "l_linenumber", "tag"), 4)
 
 
-@query("SELECT bag::INT AS bag, count(*)::BIGINT AS rows FROM orders, range(0, 3) b(bag) WHERE ((o_orderkey * 7) % 100 < 100) AND bag >= 0 GROUP BY 1")
+@query(f"SELECT bag::INT AS bag, count(*)::BIGINT AS rows FROM ({_DRAW_SQL}) WHERE u < 0.3 GROUP BY 1")
 def bag_rows(spark, sf_dir):
-    return sample.exploded_bags(read(spark, sf_dir, "orders"), 3, 1.0, F.col("o_orderkey")).groupBy("bag").agg(F.count("*").alias("rows"))
+    return sample.exploded_bags(read(spark, sf_dir, "orders"), 3, 0.3, F.col("o_orderkey"), draw=_md5_draw).groupBy("bag").agg(F.count("*").alias("rows"))
 
 
 # ---- files, vectors, streams -----------------------------------------------------------------------------------------
@@ -872,12 +973,12 @@ def output_precision(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalar.precision("l_tax", "FLOAT7").alias("seven"))
 
 
-@query()
+@query("SELECT i::INT AS i, j::INT AS j, round(corr(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 6) AS r FROM embeddings, range(0, (SELECT max(len(embedding)) FROM embeddings)) a(i), range(0, (SELECT max(len(embedding)) FROM embeddings)) b(j) WHERE j < i GROUP BY 1, 2")
 def embedding_correlation(spark, sf_dir):
     df = read(spark, sf_dir, "embeddings")
     size = len(df.select("embedding").head()[0])
     m = correlate.vectors(df, "embedding", size)
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(size) for j in range(i)], "i int, j int, r double")
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(size) for j in range(i)], "i int, j int, r double")
 
 
 _DAILY = "SELECT date_trunc('day', ts) AS d, least(9, len(list_filter(b, lambda x: x <= value)))::INT AS bin, count(*) AS rows FROM events, bounds GROUP BY 1, 2"

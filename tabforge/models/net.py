@@ -198,12 +198,29 @@ class EarlyStop:
 
 
 def prepared(df: DataFrame, columns: list[str], target: str | list[str], weight: str | None = None, validation: Column | None = None) -> DataFrame:
-    """features array<double>, target array<double>, weight, is_validation, cached: all that training reads."""
+    """block: all that training reads, packed once into one binary of doubles per Arrow batch, and cached; see unpacked().
+
+    Epochs then move a few large values between the JVM and Python instead of an array object per row.
+    """
     t = [target] if isinstance(target, str) else target
-    return df.select(
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("features"), F.array(*[F.col(c).cast("double") for c in t]).alias("target"),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"), (validation if validation is not None else F.lit(False)).alias("is_validation"),
-    ).persist()
+    wide = df.select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)], *[F.col(c).cast("double").alias(f"t{i}") for i, c in enumerate(t)],
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (validation if validation is not None else F.lit(False)).cast("double").alias("v"),
+    )
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"d": [len(columns)], "block": [np.ascontiguousarray(pdf.to_numpy(float)).tobytes()], "width": [pdf.shape[1]]})
+
+    return wide.mapInPandas(run, "d int, block binary, width int").persist()
+
+
+def unpacked(pdf: pd.DataFrame):
+    """features, targets, weights and validation marks of each block of prepared rows."""
+    for d, raw, width in zip(pdf["d"], pdf["block"], pdf["width"], strict=True):
+        m = np.frombuffer(raw).reshape(-1, width)
+        yield m[:, :d], m[:, d:-2], m[:, -2], m[:, -1] > 0.5
 
 
 def epoch(rows: DataFrame, net: Net, loss: str, flat_spot: float = 0.0, drop: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], float, float, float, float]:
@@ -213,11 +230,7 @@ def epoch(rows: DataFrame, net: Net, loss: str, flat_spot: float = 0.0, drop: li
 
     def run(batches):
         total, acc = np.zeros(size), np.zeros(4)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, t = np.stack(pdf["features"].to_numpy()), np.stack(pdf["target"].to_numpy())
-            w, val = pdf["weight"].to_numpy(float), pdf["is_validation"].to_numpy(bool)
+        for x, t, w, val in (block for pdf in batches for block in unpacked(pdf)):
             if (~val).any():
                 g, e = net.gradient(x[~val], t[~val], w[~val], loss, flat_spot, drop)
                 total += np.concatenate([m.ravel() for m in g])

@@ -137,11 +137,10 @@ def subset_fitness(df: DataFrame, columns: list[str], target: str, epochs: int =
 
         def run(batches):
             total = np.zeros(size + 1)
-            for pdf in batches:
-                pdf = pdf[pdf["is_validation"].to_numpy(bool) == validation]
-                if not len(pdf):
+            for x, t, _, marks in (block for pdf in batches for block in net.unpacked(pdf)):
+                x, t = x[marks == validation], t[marks == validation, 0]
+                if not len(t):
                     continue
-                x, t = np.stack(pdf["features"].to_numpy()), np.stack(pdf["target"].to_numpy())[:, 0]
                 if validation:
                     total[:-1] += [((n.predict(x[:, c]) - t) ** 2).sum() for n, c in zip(nets, chosen, strict=True)]
                 else:

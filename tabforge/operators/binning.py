@@ -272,9 +272,10 @@ def _collected(table: DataFrame, bins: list[Bins]) -> dict[str, list[tuple[int,
     return got
 
 
-def dynamic(df: DataFrame, columns: list[str], k: int = 10, fine: int = 100, tag: str = "tag") -> list[Bins]:
-    """Fine quantile bins merged to k by entropy: two passes over the data, the merging on columns * fine rows."""
-    start = equal_population(df, columns, fine)
+def dynamic(df: DataFrame, columns: list[str], k: int = 10, fine: int = 100, tag: str = "tag", start: list[Bins] | None = None) -> list[Bins]:
+    """Fine bins (by quantiles unless given) merged to k by entropy: two passes over the data, the merging on columns * fine
+    rows."""
+    start = start or equal_population(df, columns, fine)
     counts = _collected(bin_counts(df, start, tag), start)
     return [Bins(b.name, [b.bounds[g[0]] for g in merge_by_entropy(counts[b.name][: b.size], k)]) for b in start]
 

@@ -23,26 +23,30 @@ def stratified(df: DataFrame, rates: dict[object, float], stratum: str, key: Col
     return df.filter(draw(key, seed) < rate)
 
 
-def poisson(mean: float, u: Column, most: int = 20) -> Column:
-    """A Poisson number from a uniform one, by inversion up to `most` (beyond it lies no weight that counts for small means)."""
+def poisson(mean: float, u: Column, most: int | None = None) -> Column:
+    """A Poisson number from a uniform one, by inversion up to `most`: by default ten standard deviations above the mean and
+    more, beyond which lies less than a double can tell from 1.  Means up to 700."""
     import math
 
-    p, total, out = math.exp(-mean), 0.0, F.lit(0)
+    if mean > 700:
+        raise ValueError("means above 700 underflow")
+    most = math.ceil(mean + 10 * math.sqrt(mean) + 20) if most is None else most
+    p, total, sums = math.exp(-mean), 0.0, []
     for k in range(most):
         total += p
-        out = out + F.when(u >= total, 1).otherwise(0)
+        sums.append(total)
         p *= mean / (k + 1)
-    return out
+    return F.get(F.transform(F.array(u), lambda v: F.size(F.filter(F.array(*[F.lit(x) for x in sums]), lambda s: v >= s))), F.lit(0))
 
 
-def with_bags(df: DataFrame, bags: int, rate: float, key: Column, replacement: bool = False, seed: int = 0) -> DataFrame:
-    """df with array column bags: how often each row is in each bag."""
-    return df.withColumn("bags", F.array(*[poisson(rate, unit(key, seed + b)) if replacement else F.when(unit(key, seed + b) < rate, 1).otherwise(0) for b in range(bags)]))
+def with_bags(df: DataFrame, bags: int, rate: float, key: Column, replacement: bool = False, seed: int = 0, draw=unit) -> DataFrame:
+    """df with array column bags: how often each row is in each bag.  draw: (key, seed) to [0, 1)."""
+    return df.withColumn("bags", F.array(*[poisson(rate, draw(key, seed + b)) if replacement else F.when(draw(key, seed + b) < rate, 1).otherwise(0) for b in range(bags)]))
 
 
-def exploded_bags(df: DataFrame, bags: int, rate: float, key: Column, seed: int = 0) -> DataFrame:
+def exploded_bags(df: DataFrame, bags: int, rate: float, key: Column, seed: int = 0, draw=unit) -> DataFrame:
     """A row for each bag that accepts it, with its number in column bag."""
-    marks = F.array(*[F.when(unit(key, seed + b) < rate, F.lit(b)) for b in range(bags)])
+    marks = F.array(*[F.when(draw(key, seed + b) < rate, F.lit(b)) for b in range(bags)])
     return df.withColumn("bag", F.explode(F.filter(marks, lambda x: x.isNotNull())))
 
 
@@ -51,8 +55,9 @@ def up_sampled(df: DataFrame, weight: str, tag: str, factor: float, key: Column,
     return df.withColumn(weight, F.when(F.col(tag) == 1, F.col(weight) * (1 + poisson(factor - 1, unit(key, seed)))).otherwise(F.col(weight)))
 
 
-def fold(key: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+def fold(key: Column, k: int, hashed=F.xxhash64) -> Column:
+    """Fold of a row, 0 to k - 1.  hashed: key to a whole number."""
+    return F.pmod(hashed(key), F.lit(k)).cast("int")
 
 
 def split(df: DataFrame, validation: float, key: Column, seed: int = 0, window: tuple[int, int] | None = None) -> DataFrame:

@@ -126,5 +126,7 @@ def clean(df: DataFrame, stats: dict[str, ColumnStats], keep: list[str] | None =
 
 
 def shuffled(df: DataFrame, parts: int, seed: int = 1) -> DataFrame:
-    """Rows in random order over so many partitions."""
-    return df.withColumn("__r", F.rand(seed)).repartition(parts, "__r").sortWithinPartitions("__r").drop("__r")
+    """Rows in random order over so many partitions: by a hash of all columns, so a task that is run again deals them alike.
+    Equal rows stay together, which is no matter as they can't be told apart."""
+    key = F.xxhash64(F.to_json(F.struct(*df.columns)), F.lit(seed))
+    return df.withColumn("__r", key).repartition(parts, "__r").sortWithinPartitions("__r").drop("__r")
