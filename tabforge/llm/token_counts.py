@@ -7,7 +7,8 @@ separator before it and the number of documents before it, so that documents whi
 
 A file is one row when it is read, so shards should be of at most some hundred MB; the writer makes one of each partition
 of its input.  Defined results: a document without ids counts 0; ids after the last separator are a document that isn't
-closed; an empty file has no documents; bytes beyond the last whole word are an error.
+closed; an empty file has no documents; bytes beyond the last whole word are an error, and so is a width that doesn't hold
+every id; equal documents are counted each; a null text is a document of no ids; columns besides the text are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_of_document: int
     A text that holds the end-of-document string has that id inside and so reads back as several documents.
     """
     kind = f"<u{width}"
+    if max(end_of_document + 1, bpe.tokenizer(vocabulary).get_vocab_size()) > 2 ** (8 * width):
+        raise ValueError(f"ids of this vocabulary don't fit in {width} bytes")
 
     def run(batches):
         tokens = bpe.tokenizer(vocabulary)
@@ -50,8 +53,9 @@ def blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Da
     """file, length, block and bytes of every block of the flat files under path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     n = F.ceil(F.col("length") / block_bytes).cast("int")
-    cut = files.select("path", "length", "content", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("block"))
-    return cut.select(F.col("path").alias("file"), "length", "block", F.expr(f"substring(content, block * {block_bytes} + 1, {block_bytes})").alias("bytes"))
+    # Cut before rows are multiplied, so that no block carries its whole file.
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.substring(F.col("content"), b * block_bytes + 1, F.lit(block_bytes)))
+    return files.select(F.col("path").alias("file"), "length", F.posexplode(cut).alias("block", "bytes"))
 
 
 def separators(cut: DataFrame, end_of_document: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -39,3 +39,15 @@ def test_writer_and_scan(spark, tmp_path):
     assert Counter(r.n_tokens for r in got.collect()) == Counter(len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts)
     token_counts.write_flat(df.limit(0), f"file://{tmp_path}/b", PATH, END)
     assert token_counts.count_tokens(spark, f"file://{tmp_path}/b", END).count() == 0
+
+
+def test_one_large_file_is_cut_into_blocks_and_narrow_ids_are_refused(spark, tmp_path):
+    random.seed(3)
+    sizes = [random.choice([0, 1, 5, 30_000]) for _ in range(60)]
+    (tmp_path / "part-0").write_bytes(np.concatenate([np.r_[np.full(n, 9), END] for n in sizes]).astype("<u2").tobytes())
+    cut = token_counts.blocks(spark, f"file://{tmp_path}", 4096)
+    assert cut.count() > 100 and max(len(r.bytes) for r in cut.select("bytes").collect()) == 4096
+    got = token_counts.count_tokens(spark, f"file://{tmp_path}", END, block_bytes=4096).orderBy("ordinal").collect()
+    assert [r.n_tokens for r in got] == sizes
+    with pytest.raises(ValueError):
+        token_counts.write_flat(spark.createDataFrame([("a",)], "text string"), f"file://{tmp_path}/x", PATH, END, width=1)
