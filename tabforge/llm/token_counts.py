@@ -32,7 +32,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_of_document: int
     A text that holds the end-of-document string has that id inside and so reads back as several documents.
     """
     kind = f"<u{width}"
-    if max(end_of_document + 1, bpe.tokenizer(vocabulary).get_vocab_size()) > 2 ** (8 * width):
+    if max(end_of_document + 1, len(bpe.tokenizer(vocabulary).pieces)) > 2 ** (8 * width):
         raise ValueError(f"ids of this vocabulary don't fit in {width} bytes")
 
     def run(batches):
