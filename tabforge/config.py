@@ -147,6 +147,8 @@ class Project:
             out.append(f"Unknown model {self.train.algorithm}.")
         if self.train.bags < 1 or self.train.epochs < 1:
             out.append("Bags and epochs must be at least 1.")
+        if self.train.folds in (0, 1) or self.train.up_sample < 1:
+            out.append("Folds are at least 2 (or -1 for none), up-sampling at least 1.")
         if len({e.name for e in self.evals}) < len(self.evals):
             out.append("Two evaluation sets have one name.")
         return out

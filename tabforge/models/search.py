@@ -191,6 +191,10 @@ class Svm:
     def decision(self, x: np.ndarray) -> np.ndarray:
         return self._k(np.asarray(x, float), self.vectors) @ self.alpha + self.bias
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """The decision as a score of 0 to 1."""
+        return 1 / (1 + np.exp(-np.clip(self.decision(x), -500, 500)))
+
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, kernel: str = "rbf", c: float = 1.0, gamma: float = 0.5, epochs: int = 200, seed: int = 1) -> Svm:
         """Dual coordinate ascent; y is -1 or 1.  The bias is folded into the kernel as a constant."""

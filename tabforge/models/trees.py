@@ -13,17 +13,30 @@ from pyspark.sql import functions as F
 
 #: Names of feature subsets -> Spark's; AUTO is Spark's own choice.
 SUBSETS = {"ALL": "all", "HALF": "0.5", "ONETHIRD": "onethird", "TWOTHIRDS": "0.6667", "SQRT": "sqrt", "LOG2": "log2", "AUTO": "auto"}
-
-
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str, kind: str = "RF", weight: str | None = None, trees: int = 10, depth: int = 5, bins: int = 32, subset: str = "AUTO", impurity: str | None = None, rate: float = 0.1, seed: int = 1, regression: bool = False) -> PipelineModel:
-    """kind: DT, RF or GBT.  Unseen categories are a category of their own; numbers must not be missing."""
+#: Losses of boosted regressions -> Spark's.
+BOOST_LOSSES = {"squared": "squared", "halfgradient": "squared", "absolute": "absolute"}
+
+
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str, kind: str = "RF", weight: str | None = None, trees: int = 10, depth: int = 5, bins: int = 32, subset: str = "AUTO", impurity: str | None = None, rate: float = 0.1, seed: int = 1, regression: bool = False, loss: str | None = None, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """kind: DT, RF or GBT.  Unseen categories are a category of their own; numbers must not be missing.
+
+    Boosted trees: loss is log (of classes), squared, halfgradient or absolute, the last three by regression on the target;
+    with a validation column (true: not trained on) boosting ends once the validation error stops falling by the tolerance.
+    """
+    if kind == "GBT" and loss not in (None, "log", *BOOST_LOSSES):
+        raise ValueError(f"unknown loss {loss}")
+    boost = {"maxIter": trees, "stepSize": rate, "featureSubsetStrategy": SUBSETS[subset]} | ({"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {})
+    if kind == "GBT" and loss in BOOST_LOSSES:
+        regression = True
+        # Half the gradient of the squared loss is the squared loss at half the step.
+        boost |= {"lossType": BOOST_LOSSES[loss]} | ({"stepSize": rate / 2} if loss == "halfgradient" else {})
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categorical]
     stages.append(VectorAssembler(inputCols=[*numeric, *[f"{c}__i" for c in categorical]], outputCol="features", handleInvalid="keep"))
     common = {"featuresCol": "features", "labelCol": target, "maxDepth": depth, "maxBins": bins, "seed": seed} | ({"weightCol": weight} if weight else {})
     make = {
         ("DT", False): lambda: DecisionTreeClassifier(**common, impurity=impurity or "gini"), ("DT", True): lambda: DecisionTreeRegressor(**common),
         ("RF", False): lambda: RandomForestClassifier(**common, numTrees=trees, featureSubsetStrategy=SUBSETS[subset], impurity=impurity or "gini"), ("RF", True): lambda: RandomForestRegressor(**common, numTrees=trees, featureSubsetStrategy=SUBSETS[subset]),
-        ("GBT", False): lambda: GBTClassifier(**common, maxIter=trees, stepSize=rate, featureSubsetStrategy=SUBSETS[subset]), ("GBT", True): lambda: GBTRegressor(**common, maxIter=trees, stepSize=rate, featureSubsetStrategy=SUBSETS[subset]),
+        ("GBT", False): lambda: GBTClassifier(**common, **boost), ("GBT", True): lambda: GBTRegressor(**common, **boost),
     }
     return Pipeline(stages=[*stages, make[kind, regression]()]).fit(df)
 

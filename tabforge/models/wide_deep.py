@@ -72,7 +72,7 @@ class WideDeep:
 def fit(df: DataFrame, numbers: list[str], categories: dict[str, int], target: str, weight: str | None = None, epochs: int = 50, rate: float = 0.05, width: int = 4, hidden: list[int] = (8,), seed: int = 1) -> tuple[WideDeep, list[float]]:
     """Full-batch training with Adam.  categories: column of indexes -> number of indexes (the last is for unseen ones)."""
     model, step, losses = WideDeep.create(len(numbers), list(categories.values()), width, hidden, seed), Updater("ADAM", rate), []
-    rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers]).alias("x"), F.array(*[F.least(F.coalesce(F.col(c).cast("int"), F.lit(n - 1)), F.lit(n - 1)) for c, n in categories.items()]).alias("c"), F.col(target).cast("double").alias("t"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).persist()
+    rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers]).alias("x"), F.array(*[F.least(F.coalesce(F.col(c).cast("int"), F.lit(n - 1)), F.lit(n - 1)) for c, n in categories.items()]).cast("array<int>").alias("c"), F.col(target).cast("double").alias("t"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).persist()
     for _ in range(epochs):
         size = sum(p.size for p in model.parameters())
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tabforge.config import Project
 from tabforge.functions import expression
-from tabforge.models import net, search
 from tabforge.operators import binning, correlate, drift, evaluate, metrics, prep, profile, sample, select, transform
 from tabforge.operators.transform import ColumnStats
+from tabforge.plans import training
 
 
 @dataclass
@@ -22,7 +22,8 @@ class Run:
     project: Project
     meta: dict[str, dict] = field(default_factory=dict)
     stats: dict[str, ColumnStats] = field(default_factory=dict)
-    models: list[net.Net] = field(default_factory=list)
+    models: list = field(default_factory=list)
+    errors: list[float] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
     history: list[list[select.Reason]] = field(default_factory=list)
 
@@ -114,14 +115,17 @@ def correlation(run: Run, df: DataFrame) -> dict[tuple[str, str], float]:
     return {(r["column_a"], r["column_b"]): r["r"] for r in correlate.matrix(_tagged(run, df), cols | {"tag": F.col("tag")}).collect()}
 
 
-def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None) -> Run:
-    """Automatic filter, then selection by the configured measure; the reasons are kept, so a run can be taken back."""
+def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None, df: DataFrame | None = None) -> Run:
+    """Automatic filter, then selection by the configured measure; the reasons are kept, so a run can be taken back.
+
+    FI, SE, ST and VOTED train models, so they need the rows, df.
+    """
     import pandas as pd
 
     v = run.project.varselect
     kind = v.filter_by.upper()
-    if kind not in ("KS", "IV", "MIX", "PARETO"):
-        raise NotImplementedError(f"Selection by {kind} isn't wired into the steps.")
+    if kind not in ("KS", "IV", "MIX", "PARETO") and df is None:
+        raise ValueError(f"Selection by {kind} needs the rows.")
     rows = [{"column_name": c, "ks": m["stats"].get("ks") or 0.0, "iv": m["stats"].get("iv") or 0.0, "missing_rate": m["stats"].get("missing_rate", 0.0)} for c, m in run.meta.items() if "bins" in m and m["flag"] != "ForceRemove"]
     meta = pd.DataFrame(rows, columns=["column_name", "ks", "iv", "missing_rate"])
     reasons = select.auto_filter(meta, correlations, v.missing_rate, v.min_iv, v.min_ks, v.correlation, force=v.force_select, target="tag")
@@ -130,6 +134,10 @@ def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None) -
     n = select._count(len(left), v.count, v.filter_out_ratio)
     by = lambda k: list(left.sort_values([k, "column_name"], ascending=[False, True]).column_name)
     order = select.pareto(left, v.count, v.filter_out_ratio) if kind == "PARETO" else by("iv") if kind == "IV" else by("ks")
+    if kind in ("FI", "SE", "ST", "VOTED") and len(left):
+        stats = {c: run.stats[c] for c in left.column_name}
+        table, features = _trainable(run, df, stats, kind == "FI")
+        order = training.ranked(table, features, stats, run.project.train, kind, n)
     if kind == "MIX":
         order = list(dict.fromkeys(c for pair in zip(by("ks"), by("iv"), strict=True) for c in pair))
     chosen = list(dict.fromkeys([*[c for c in v.force_select if c in set(left.column_name)], *order]))[: max(n, len(v.force_select))]
@@ -138,30 +146,28 @@ def varsel(run: Run, correlations: dict[tuple[str, str], float] | None = None) -
     return run
 
 
+def _trainable(run: Run, df: DataFrame, stats: dict[str, ColumnStats], cleaned: bool, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Tag, weight, kept columns and features, and the features' names."""
+    n, kept = run.project.normalize, ["tag", "weight", *(keep or [])]
+    t = _tagged(run, df)
+    table = transform.clean(t, stats, kept) if cleaned else transform.normalize(t, stats, n.kind, n.cutoff, kept, n.missing_category)
+    return table, [c for c in table.columns if c not in kept]
+
+
 def norm(run: Run, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    n = run.project.normalize
-    chosen = {c: run.stats[c] for c in run.selected() or run.stats}
-    out = transform.normalize(_tagged(run, df), chosen, n.kind, n.cutoff, ["tag", "weight", *(keep or [])], n.missing_category)
-    run.features = [c for c in out.columns if c not in ("tag", "weight", *(keep or []))]
-    return out
+    """Normalised columns, or cleaned ones where the algorithm is one of trees."""
+    table, run.features = _trainable(run, df, {c: run.stats[c] for c in run.selected() or run.stats}, run.project.train.algorithm.upper() in training.TREES, keep)
+    return table
 
 
 def train(run: Run, table: DataFrame) -> Run:
-    t = run.project.train
-    kind = t.algorithm.upper()
-    if kind not in ("LR", "NN"):
-        raise NotImplementedError(f"Training of {kind} isn't wired into the steps.")
-    if t.folds > 0 or t.up_sample != 1:
-        raise NotImplementedError("Folds and up-sampling aren't wired into the steps.")
-    params = ({"hidden": []} if kind == "LR" else {"hidden": [16]}) | {"epochs": t.epochs} | t.params
-    key = F.xxhash64(*[F.col(c) for c in table.columns])
-    done = search.train_bags(table, run.features, "tag", key, params, t.bags, t.bag_rate, t.with_replacement, t.validation_rate, "weight", t.seed)
-    run.models = [m for m, _ in done]
+    """Models of the configured algorithm, one for each bag or fold, and their validation errors."""
+    run.models, run.errors = training.models(table, run.features, run.stats, run.project.train, run.project.normalize.kind)
     return run
 
 
 def score(run: Run, df: DataFrame, keep: list[str] | None = None, scale: float = 1000.0) -> DataFrame:
-    table = net.scored(norm(run, df, keep), run.features, run.models, scale=scale)
+    table = training.scored(norm(run, df, keep), run.features, run.models, scale)
     return table.select("tag", "weight", *(keep or []), "scores", *[c.alias(n) for n, c in evaluate.score_summary(F.col("scores")).items()])
 
 
