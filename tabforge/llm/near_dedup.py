@@ -234,7 +234,7 @@ def _dealt(suspects: DataFrame, comps: DataFrame) -> DataFrame:
     grid too, so its pairs with other probes need comparing from one side only.
     """
     cluster = components(suspects.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    rows = written(suspects.select("block", "id", "probe").distinct().join(cluster.select("id", F.col("comp").alias("cluster")), "id"), "suspects")
+    rows = written(suspects.select("block", "id", "probe").distinct().join(cluster.select("id", F.col("comp").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id")), "suspects")
     nodes = written(rows.groupBy("id", "cluster").agg(F.max("probe").alias("also")), "members")
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("c"), F.count_if("also").alias("p"))
     sizes = sizes.select("cluster", F.ceil(F.col("c") / BLOCK).cast("int").alias("base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("probes"), (F.col("c") * F.ceil(F.col("p") / BLOCK) + F.col("p") * F.ceil(F.col("c") / BLOCK)).alias("cost"))
@@ -328,7 +328,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text_col: str, words:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp (smallest id reachable) of every node with an edge (a, b), by alternating large-star and small-star steps."""
+    """id and comp (smallest id reachable) of every node with an edge (a, b), by alternating large-star and small-star steps;
+    the smallest node of a component has no row."""
     with scratch(edges.sparkSession):
         e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
         state = None

@@ -56,6 +56,16 @@ def test_components_against_brute_force(spark, monkeypatch, words, block):
         assert r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) and r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_search_alone_finds_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "neighbours", lambda rows, t: rows.sparkSession.createDataFrame([], "a long, b long"))
+    rows = [(i, t) for i, t in corpus() if i % 7]
+    want, _ = brute(rows, 2)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_one_document_with_two_texts_ties_them(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (None, a)], "doc_id long, text string")).collect()}
