@@ -1,9 +1,10 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, with links confirmed on full shingle sets.
 
 Documents with equal shingle sets become one node.  The forest holds TREES sorted orders of the nodes; the order of a
-tree is that of its own slice of the signature, then of the rest.  Nodes that share the first DEPTH values of a tree
-form a region.  Within a region the sorted order puts those with the longest common prefix side by side, so in a
-dense region neighbours share a deeper prefix: each node is paired with its next NEIGHBOURS in every order.  Pairs are
+tree is that of its own slice of the signature, then of the values after it.  Nodes that share the first DEPTH values of
+a tree form a region.  Its depth adapts: a region of at most LEAF nodes is one leaf, in a denser one the prefix grows
+value by value until as few nodes share it.  Those of a leaf have the longest common prefixes with each other: each takes
+the likeliest before and after it, and where leaves meet the next NEIGHBOURS in order are taken.  Pairs are
 confirmed on their full sets and joined into components.  What neighbours can miss is then looked up exactly: in every
 region that still holds more than one component, all nodes outside its largest component are compared by signature
 with all nodes of other components, in blocks of bounded size.  Nodes that look like one of another component are then
@@ -21,6 +22,7 @@ empty table.
 from __future__ import annotations
 
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import scratch, small_batches, sub_batches, tidy, written
 
 TREES, DEPTH, NEIGHBOURS, BLOCK = 20, 4, 3, 128
+#: Nodes of a leaf at most, and rows of a sorted order that a worker looks at together.
+LEAF, ROWS_AT_ONCE = 16, 4096
 #: A pair is confirmed if its share of equal signature values is at most this much below the bound: 4.5 standard errors.
 SLACK = 0.2
 #: Ids of this many nodes at most are broadcast (16 MB); more are joined by a shuffle.
@@ -124,8 +128,8 @@ def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
 def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     def column(n):
         c = batch.column(n)
-        if n == "sig":
-            return np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, _M)
+        if n in ("sig", "rest"):
+            return np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), -1)
         if n == "members":
             out = np.empty(len(c), object)
             out[:] = [np.frombuffer(x, np.uint64) for x in c.to_pylist()]
@@ -139,37 +143,102 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
 
-def _alike(n1, n2, s1, s2, t: float) -> np.ndarray:
-    """Whether sizes allow the similarity and signatures suggest it."""
+def _agreeing(n1, n2, s1, s2, t: float) -> np.ndarray:
+    """Equal places of the signatures where sizes allow the similarity and signatures suggest it, else 0."""
     ok = np.minimum(n1, n2) >= t * np.maximum(n1, n2)
+    out = np.zeros(len(ok), np.int64)
     if ok.any():
         i = np.flatnonzero(ok)
+        equal = (s1[i] == s2[i]).sum(1)
         # Counted, since 0.8 - 0.2 is a little above 0.6 and would ask for one place more.
-        ok[i] = (s1[i] == s2[i]).sum(1) >= int((t - SLACK) * _M + 1e-6)
-    return ok
+        out[i] = np.where(equal >= int((t - SLACK) * _M + 1e-6), equal, 0)
+    return out
+
+
+def _alike(n1, n2, s1, s2, t: float) -> np.ndarray:
+    """Whether sizes allow the similarity and signatures suggest it."""
+    return _agreeing(n1, n2, s1, s2, t) > 0
+
+
+def leaves(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """First row of every row's leaf: the shallowest prefix from DEPTH on that LEAF rows at most share; rows of which more
+    share all values stand alone.  Rows are in the order of bucket and rest, the values that follow the first DEPTH."""
+    same = np.logical_and.accumulate(rest[1:] == rest[:-1], axis=1).sum(1)
+    depth = np.where(bucket[1:] == bucket[:-1], DEPTH + same, 0)
+    leaf = np.full(len(bucket), -1)
+    for d in range(DEPTH, DEPTH + rest.shape[1] + 1):
+        new = np.r_[True, depth < d]
+        group = np.cumsum(new) - 1
+        fits = (leaf < 0) & (np.bincount(group)[group] <= LEAF)
+        leaf[fits] = np.flatnonzero(new)[group[fits]]
+    return np.where(leaf < 0, np.arange(len(leaf)), leaf)
+
+
+def _candidates(cols: list[np.ndarray], done: int, upto: int, t: float):
+    """Pairs of rows: the likeliest before and after each in its leaf, and NEIGHBOURS places on across leaves of a region.
+
+    Leaves that end after done and by upto, and pairs whose later row is from done and before upto, are read."""
+    bucket, rest, ids, n, sig = cols
+    leaf = leaves(bucket, rest)
+    end = np.searchsorted(leaf, leaf, "right")
+    ready = (end > done) & (end <= upto)
+    best = np.zeros((2, len(ids)), np.int64)
+    partner = np.zeros((2, len(ids)), np.int64)
+    for lag in range(1, LEAF):
+        i = np.flatnonzero(ready[: len(ids) - lag] & (leaf[: len(ids) - lag] == leaf[lag:]))
+        if not len(i):
+            break
+        j = i + lag
+        score = np.where(ids[i] == ids[j], 0, _agreeing(n[i], n[j], sig[i], sig[j], t))
+        for side, x, y in ((0, j, i), (1, i, j)):
+            better = score > best[side, x]
+            best[side, x[better]], partner[side, x[better]] = score[better], y[better]
+    side, x = np.nonzero(best)
+    yield ids[x], ids[partner[side, x]]
+    for lag in range(1, NEIGHBOURS + 1):
+        j = np.arange(max(done, lag), upto)
+        i = j - lag
+        i = i[(bucket[i] == bucket[j]) & (leaf[i] != leaf[j]) & (ids[i] != ids[j])]
+        if len(i):
+            i = i[_alike(n[i], n[i + lag], sig[i], sig[i + lag], t)]
+            yield ids[i], ids[i + lag]
+
+
+def _in_order(chunks, t: float):
+    """The candidates of sorted rows that come in chunks; holds few more rows at once than ROWS_AT_ONCE and a chunk."""
+    held, new, done = None, [], 0
+    for chunk in chain(chunks, [None]):
+        if chunk is not None:
+            new.append(chunk)
+            if sum(len(c[0]) for c in new) < ROWS_AT_ONCE:
+                continue
+        parts = ([held] if held else []) + new
+        if not parts:
+            return
+        cols, new = [np.concatenate(x) for x in zip(*parts, strict=True)], []
+        # What LEAF rows follow and precede is known to be whole, or to be denser than a leaf.
+        upto = len(cols[0]) if chunk is None else max(done, len(cols[0]) - LEAF)
+        yield from _candidates(cols, done, upto, t)
+        drop = max(0, upto - 2 * LEAF)
+        held, done = [c[drop:] for c in cols], upto - drop
 
 
 def neighbours(rows: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of nodes that follow each other within NEIGHBOURS places of a sorted region."""
+    """Pairs (a, b) of nodes that look alike: neighbours by longest common prefix in a sorted order.
+
+    The depth adapts to the region: where LEAF nodes at most share the first DEPTH values these are one leaf, in a denser
+    region the prefix grows until as few share it.  A node takes the likeliest before and after it in its leaf; where
+    leaves of a region meet, nodes within NEIGHBOURS places are paired too.
+    """
+    names = ["bucket", "rest", "id", "n", "sig"]
 
     def run(batches):
-        held = None
-        for batch in batches:
-            new = _columns(batch, ["bucket", "id", "n", "sig"])
-            cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            old = 0 if held is None else len(held[0])
-            bucket, ids, n, sig = cols
-            for lag in range(1, NEIGHBOURS + 1):
-                i = np.arange(max(0, old - lag), len(ids) - lag)
-                i = i[(bucket[i] == bucket[i + lag]) & (ids[i] != ids[i + lag])] if len(i) else i
-                if len(i):
-                    i = i[_alike(n[i], n[i + lag], sig[i], sig[i + lag], t)]
-                    yield _pairs(ids[i], ids[i + lag])
-            held = [c[-NEIGHBOURS:] for c in cols]
+        for a, b in _in_order((_columns(batch, names) for batch in batches), t):
+            yield _pairs(a, b)
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "bucket", "rest", "id").sortWithinPartitions("bucket", "rest", "id")
-    return ordered.select("bucket", "id", "n", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
+    return ordered.select(*names).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _by_block(batches, names: list[str], each):

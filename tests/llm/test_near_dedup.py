@@ -83,3 +83,36 @@ def test_signatures_that_agree_in_48_of_80_places_are_compared():
     a, b = np.zeros((2, 80), np.uint16), np.zeros((2, 80), np.uint16)
     b[0, 48:], b[1, 47:] = 1, 1
     assert near_dedup._alike(n, n, a, b, 0.8).tolist() == [True, False]
+
+
+def forest_order():
+    random.seed(8)
+    rows = []
+    for bucket, size in ((1, 3), (2, 16), (3, 17), (4, 200), (5, 1), (6, 40)):
+        for _ in range(size):
+            rest = [0] * 12 if bucket == 6 else [random.choice([0, 0, 0, 1]) for _ in range(12)]
+            sig = [random.choice([7, 7, 7, 8]) for _ in range(80)]
+            rows.append((bucket, rest, random.randrange(10**6), 100, sig))
+    rows.sort(key=lambda r: (r[0], np.array(r[1], np.uint16).tobytes(), r[2]))
+    kinds = (np.int64, np.uint16, np.int64, np.int64, np.uint16)
+    return [np.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+
+def test_depth_of_a_leaf_adapts_to_its_region():
+    bucket, rest = forest_order()[:2]
+    got = near_dedup.leaves(bucket, rest)
+    keys = [(b, *r) for b, r in zip(bucket.tolist(), rest.tolist(), strict=True)]
+    for i, k in enumerate(keys):
+        group = next((g for d in range(1, 14) if len(g := [j for j, x in enumerate(keys) if x[:d] == k[:d]]) <= near_dedup.LEAF), [i])
+        assert got[i] == group[0]
+    assert len(set(got[bucket == 4])) > 10 and len(set(got[bucket == 2])) == 1 and len(set(got[bucket == 6])) == 40
+
+
+@pytest.mark.parametrize("size", [1, 7, 33, 1000])
+def test_candidates_do_not_depend_on_chunks(monkeypatch, size):
+    cols = forest_order()
+    whole = {(int(x), int(y)) for a, b in near_dedup._candidates(cols, 0, len(cols[0]), 0.8) for x, y in zip(a, b, strict=True)}
+    monkeypatch.setattr(near_dedup, "ROWS_AT_ONCE", size)
+    chunks = ([c[i : i + size] for c in cols] for i in range(0, len(cols[0]), size))
+    got = {(int(x), int(y)) for a, b in near_dedup._in_order(chunks, 0.8) for x, y in zip(a, b, strict=True)}
+    assert got == whole and len(whole) > 200
