@@ -282,3 +282,12 @@ def test_subset_fitness_reads_every_row(spark):
     by_a, by_b = fitness([["a"], ["b"]])
     fitness.done()
     assert by_a < by_b and fitness([]) == []
+
+
+def test_shuffled_bounds_the_rows_of_a_task(spark):
+    df = spark.range(1_000).withColumn("x", F.col("id") * 2)
+    out = transform.shuffled(df, 4, most=100)
+    assert out.rdd.getNumPartitions() == 10 and max(out.rdd.glom().map(len).collect()) < 200
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(1_000)) and rows != sorted(rows) and rows == transform.shuffled(df.repartition(3), 4, most=100).collect()
+    assert transform.shuffled(df, 4).rdd.getNumPartitions() == 4
