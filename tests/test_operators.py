@@ -284,6 +284,29 @@ def test_subset_fitness_reads_every_row(spark):
     assert by_a < by_b and fitness([]) == []
 
 
+def test_exact_quantiles_are_those_of_percentile(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, float(rng.randrange(9)), rng.gauss(0, 1)]), float(rng.randrange(3)), None) for _ in range(2_001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "abc"]).head()
+    got = {r.column_name: r.q for r in profile.quantiles(df, list("abc"), probs, exact=True).collect()}
+    assert got["c"] is None and want.c is None and all(np.allclose(got[c], want[c], rtol=1e-12, atol=0) for c in "ab")
+    assert got["b"] == want.b
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    bins = binning.equal_population(df.withColumn("tag", F.lit(1)), ["a", "b"], 4, exact=True)
+    assert bins[0].bounds == [-INF, *want_bounds(df, "a")] and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def want_bounds(df, c):
+    return sorted(set(df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).head()[0]))
+
+
+def test_no_task_of_exact_quantiles_holds_all_values(spark):
+    plan = profile.quantiles(spark.range(10).withColumn("v", F.col("id").cast("double")), ["v"], exact=True)._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
 def test_shuffled_bounds_the_rows_of_a_task(spark):
     df = spark.range(1_000).withColumn("x", F.col("id") * 2)
     out = transform.shuffled(df, 4, most=100)
