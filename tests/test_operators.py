@@ -314,3 +314,30 @@ def test_shuffled_bounds_the_rows_of_a_task(spark):
     rows = out.collect()
     assert sorted(r.id for r in rows) == list(range(1_000)) and rows != sorted(rows) and rows == transform.shuffled(df.repartition(3), 4, most=100).collect()
     assert transform.shuffled(df, 4).rdd.getNumPartitions() == 4
+
+
+def test_nets_fitted_together_are_those_fitted_alone(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, x), float(x.sum() > 0), float(rng.random())) for i, x in enumerate(rng.normal(size=(400, 3)))], "id long, a double, b double, c double, tag double, w double")
+    side = F.col("id") % 3 == 0
+    rows = net.prepared(df, ["a", "b", "c"], "tag", "w", side)
+    jobs = [([0], True, 4, []), ([2, 1], False, 7, [3]), ([0, 1], None, 5, [])]
+    start = [search.net_of(len(c), {"hidden": h}) for c, _, _, h in jobs]
+    got = net.fit_together(rows, [n for n, _ in start], [u for _, u in start], [c for c, _, _, _ in jobs], [s for _, s, _, _ in jobs], [e for _, _, e, _ in jobs])
+    rows.unpersist()
+    for model, (c, s, e, h) in zip(got, jobs, strict=True):
+        own = net.prepared(df if s is None else df.filter(side if s else ~side), ["abc"[i] for i in c], "tag", "w")
+        n, u = search.net_of(len(c), {"hidden": h})
+        alone, _ = net.fit(own, n, u, e)
+        own.unpersist()
+        assert all(np.allclose(x, y) for x, y in zip(model.weights, alone.weights, strict=True))
+
+
+def test_stacked_models_ask_for_no_fewer_epochs_than_the_default(spark, monkeypatch):
+    """The registered query asks for as many epochs as stacking has by default."""
+    from tabforge import catalog
+
+    seen = []
+    monkeypatch.setattr(search, "stacked", lambda df, parts, target, key, final: seen.append([*[p for _, p in parts], final]) or ([], net.Net.create(2)))
+    catalog.QUERIES["stacked_models"](spark, "/root/testdata/sf0.001")
+    assert seen and all(p.get("epochs", 50) >= 50 for p in seen[0])
